@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontam, lang_id, line_dedup, mixing, near_dup, quality_model, quality_rules, token_counts, toxicity
+from . import decontam, lang_id, line_dedup, mixing, near_dup, quality_model, quality_rules, repeats, token_counts, toxicity
 
 QUERIES = {
+    "op1_remove_repeats": repeats.op1_remove_repeats,
     "op2_decontaminate": decontam.op2_decontaminate,
     "op3_token_counts": token_counts.op3_token_counts,
     "op4_line_dedup": line_dedup.op4_line_dedup,
