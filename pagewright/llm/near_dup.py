@@ -4,11 +4,11 @@ Two permutations of the 32-bit circle make all signature coordinates: the first
 by one place for each coordinate, orders them; a coordinate is the least place that any shingle gets. Coordinates in bands of
 ROWS make buckets. With 24 bands of 4, a pair at similarity 0.8 shares no bucket with probability 3e-6.
 
-Documents with equal shingle sets are one node. In each bucket every node is compared with one hub, the node that shares most
-buckets with others; verified links are joined into components. Where a bucket still holds several components, all pairs across
-them are compared as well, so no link between different texts is lost, yet a large group costs one comparison a node, not one
-a pair. A comparison first looks at the signatures (an estimate under ``0.8 - 0.25`` is six standard errors off) and then counts the
-full shingle sets. Component labels spread by least label and pointer jumping over tables in the shared folder.
+Documents with equal shingle sets are one node. In each bucket every node is compared with HUBS hubs, of each part of the
+bucket the node that shares most buckets with others; verified links are joined into components. Where a bucket still holds several components, all pairs across
+them are compared by signatures too, in large buckets one block of nodes against another inside a task, each pair only in the
+first band that it shares, so that only pairs that may be links become rows. A comparison first looks at the signatures (an
+estimate under ``0.8 - SLACK`` is four standard errors off) and then counts the full shingle sets. Component labels spread by least label and pointer jumping over tables in the shared folder.
 
 Edge cases: null, empty and wordless texts have no shingles, component_id is their own id; texts shorter than a shingle are
 one shingle; rows that share an id count as one node; a null id is reachable but names no component; an empty table gives an
@@ -28,7 +28,10 @@ from .common import arrow_map, staged, table
 SHINGLE = 5
 SIMILARITY = 80
 BANDS, ROWS = 24, 4
-SLACK = 0.25
+SLACK = 0.17
+#: Buckets of more nodes are compared in blocks of BLOCK nodes, inside tasks.
+SMALL, BLOCK = 24, 512
+HUBS = 4
 P = [np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 SHIFTS = np.arange(BANDS * ROWS, dtype=np.uint32)[:, None]
 LETTERS = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
@@ -100,6 +103,39 @@ def _near_signatures(pairs: DataFrame, reps: DataFrame, least: float) -> DataFra
     return arrow_map(both, rows, schema).filter(F.col("est") >= least)
 
 
+def _across_blocks(own: DataFrame, reps: DataFrame, least: float) -> DataFrame:
+    """a, b of the pairs across components in the large buckets of ``own`` whose signatures agree in a share of ``least``."""
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    dealt = own.join(reps.select("node", "sig"), "node").withColumn("blk", F.pmod(F.xxhash64("node"), blocks).cast("int"))
+    dealt = dealt.select("bucket", "band", "node", "label", "sig", "blk", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("_o"))
+    dealt = dealt.select("bucket", F.least("blk", "_o").alias("lo"), F.greatest("blk", "_o").alias("hi"), "band", "node", "label", "sig", "blk")
+
+    def compare(t):
+        import pyarrow as pa
+
+        n = t.num_rows
+        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint32).reshape(n, BANDS * ROWS)
+        node, label, blk, band = (t.column(c).to_numpy() for c in ("node", "label", "blk", "band"))
+        same_block = n and t.column("lo")[0] == t.column("hi")[0]
+        first, second = [], []
+        for at in range(0, n, 32):
+            part = slice(at, at + 32)
+            equal = sig[part, None, :] == sig[None, :, :]
+            ok = (equal.mean(2) >= least) & (label[part, None] != label[None, :]) & (node[part, None] < node[None, :])
+            if not same_block:
+                ok &= blk[part, None] != blk[None, :]
+            i, j = np.nonzero(ok)
+            shared = equal[i, j].reshape(len(i), BANDS, ROWS).all(2).argmax(1)
+            mine = shared == band[0]
+            first.append(node[part][i[mine]])
+            second.append(node[j[mine]])
+        empty = np.zeros(0, node.dtype)
+        return pa.table({"a": pa.array(np.concatenate([empty, *first])), "b": pa.array(np.concatenate([empty, *second]))})
+
+    kind = reps.schema["node"].dataType
+    return dealt.groupBy("bucket", "lo", "hi").applyInArrow(compare, T.StructType([T.StructField("a", kind), T.StructField("b", kind)]))
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     """a, b of the pairs whose full sets are similar."""
     a = pairs.select("a", "b").join(sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a")
@@ -134,11 +170,11 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, similarity: int = SIMI
     signed = staged(_signed(docs, size), "near-signed")
     classes = signed.filter("set_key IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("node"), F.first("sig").alias("sig")).filter("node IS NOT NULL")
     reps = staged(classes, "near-classes")
-    buckets = reps.select("node", F.explode(F.array(*[F.xxhash64(F.lit(i), F.expr(f"substring(sig, {i * ROWS * 4 + 1}, {ROWS * 4})")) for i in range(BANDS)])).alias("bucket"))
+    buckets = reps.select("node", F.posexplode(F.array(*[F.xxhash64(F.lit(i), F.expr(f"substring(sig, {i * ROWS * 4 + 1}, {ROWS * 4})")) for i in range(BANDS)])).alias("band", "bucket"))
     shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     members = staged(buckets.join(shared, "bucket"), "near-members")
     known = members.groupBy("node").agg(F.sum("n").alias("known"))
-    hubs = members.join(known, "node").groupBy("bucket").agg(F.max(F.struct("known", F.col("node").alias("hub"))).alias("h")).select("bucket", F.col("h.hub").alias("hub"))
+    hubs = members.join(known, "node").groupBy("bucket", F.pmod(F.xxhash64("node"), F.lit(HUBS))).agg(F.max(F.struct("known", F.col("node").alias("hub"))).alias("h")).select("bucket", F.col("h.hub").alias("hub"))
     star = members.join(hubs, "bucket").filter("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
     least = similarity / 100 - SLACK
     tested = staged(_near_signatures(star, reps, least - 0.1), "near-tested")
@@ -148,12 +184,13 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, similarity: int = SIMI
     label = components(links)
 
     # buckets that still hold several components: all pairs across them
-    own = members.join(label, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
+    own = members.join(label, "node", "left").select("bucket", "band", "n", "node", F.coalesce("label", "node").alias("label"))
     mixed = own.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("bucket")
     own = staged(own.join(mixed, "bucket", "left_semi"), "near-mixed")
-    x, y = own.select("bucket", F.col("node").alias("a"), F.col("label").alias("la")), own.select("bucket", F.col("node").alias("b"), F.col("label").alias("lb"))
+    few = own.filter(F.col("n") <= SMALL)
+    x, y = few.select("bucket", F.col("node").alias("a"), F.col("label").alias("la")), few.select("bucket", F.col("node").alias("b"), F.col("label").alias("lb"))
     cross = x.join(y, "bucket").filter("a < b AND la <> lb").select("a", "b").distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
-    cross = staged(_near_signatures(cross, reps, least), "near-cross")
+    cross = staged(_near_signatures(cross, reps, least).select("a", "b").union(_across_blocks(own.filter(F.col("n") > SMALL), reps, least)).distinct(), "near-cross")
     if not cross.isEmpty():
         new = cross.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(sets.select("node"), "node", "left_anti")
         if not new.isEmpty():
