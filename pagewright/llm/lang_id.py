@@ -22,7 +22,7 @@ from .common import arrow_map, split_remainder, table
 
 PROFILE = 300
 PER_LANG = 2_000
-MAX_LANGS = 2_000
+MAX_LANGS = 8_000
 LETTER = re.compile(r"[^\W\d_]")
 NOT_LETTERS = re.compile(r"[\W\d_]+")
 
@@ -66,7 +66,8 @@ def learn_profiles(docs: DataFrame, learn: Column, per_lang: int = PER_LANG, k:
     labelled = docs.filter(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
     share = labelled.groupBy("lang").agg((F.lit(float(per_lang)) / F.count(F.lit(1))).alias("_share")).withColumnRenamed("lang", "_l")
     unit = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    sample = labelled.join(share, F.col("lang") == F.col("_l")).filter(unit < F.col("_share"))
+    # one row a language, at most MAX_LANGS; else the texts would be dealt out by language
+    sample = labelled.join(F.broadcast(share.orderBy("_l").limit(MAX_LANGS)), F.col("lang") == F.col("_l")).filter(unit < F.col("_share"))
 
     def rows(c: dict[str, list]) -> dict[str, list]:
         flat = [[], [], []]
