@@ -35,7 +35,8 @@ from .common import arrow_map, ship, staged, table
 
 LENGTH, GRAM = 200, 40
 SPAN = LENGTH - GRAM + 1
-HOT = 256
+#: As many contexts of one anchor as still make a block of bounded size (4096 x 359 bytes).
+HOT = 4096
 BLOCK = 1_000_000
 
 _rng = np.random.default_rng(5)
@@ -125,7 +126,7 @@ def matching_statistics(texts: list[bytes]) -> list[np.ndarray]:
         new = np.concatenate([[False], key[order][1:] != key[order][:-1]]).cumsum()
         rank = np.empty(n, np.int64)
         rank[order] = new
-        ranks.append((width, rank))
+        ranks.append((width, rank.astype(np.int32)))
         if new[-1] == n - 1:
             break
         key = (rank << 32) | (shifted(rank, width) + 1) * (np.arange(n) + width < n)
