@@ -5,9 +5,10 @@ by one place for each coordinate, orders them; a coordinate is the least place t
 ROWS make buckets. With 24 bands of 4, a pair at similarity 0.8 shares no bucket with probability 3e-6.
 
 Documents with equal shingle sets are one node. In each bucket every node is compared with HUBS hubs, of each part of the
-bucket the node that shares most buckets with others; verified links are joined into components. Where a bucket still holds several components, all pairs across
-them are compared by signatures too, in large buckets one block of nodes against another inside a task, each pair only in the
-first band that it shares, so that only pairs that may be links become rows. A comparison first looks at the signatures (an
+bucket the node that shares most buckets with others; verified links are joined into components. Where a bucket still holds
+several components, all pairs across them are compared too; in large buckets one block of nodes meets another inside a task, which
+compares signatures and full sets and gives links only, each pair only in the first band that it shares, so that pairs that are
+not links never become rows. A comparison first looks at the signatures (an
 estimate under ``0.8 - SLACK`` is four standard errors off) and then counts the full shingle sets. Component labels spread by least label and pointer jumping over tables in the shared folder.
 
 Edge cases: null, empty and wordless texts have no shingles, component_id is their own id; texts shorter than a shingle are
@@ -31,6 +32,8 @@ BANDS, ROWS = 24, 4
 SLACK = 0.17
 #: Buckets of more nodes are compared in blocks of BLOCK nodes, inside tasks.
 SMALL, BLOCK = 24, 512
+#: As many shingles as a block has at most, on average (8 bytes each).
+WEIGHT = 2_000_000
 HUBS = 4
 P = [np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 SHIFTS = np.arange(BANDS * ROWS, dtype=np.uint32)[:, None]
@@ -103,37 +106,74 @@ def _near_signatures(pairs: DataFrame, reps: DataFrame, least: float) -> DataFra
     return arrow_map(both, rows, schema).filter(F.col("est") >= least)
 
 
-def _across_blocks(own: DataFrame, reps: DataFrame, least: float) -> DataFrame:
-    """a, b of the pairs across components in the large buckets of ``own`` whose signatures agree in a share of ``least``."""
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = own.join(reps.select("node", "sig"), "node").withColumn("blk", F.pmod(F.xxhash64("node"), blocks).cast("int"))
-    dealt = dealt.select("bucket", "band", "node", "label", "sig", "blk", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("_o"))
-    dealt = dealt.select("bucket", F.least("blk", "_o").alias("lo"), F.greatest("blk", "_o").alias("hi"), "band", "node", "label", "sig", "blk")
-
-    def compare(t):
-        import pyarrow as pa
-
-        n = t.num_rows
-        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint32).reshape(n, BANDS * ROWS)
-        node, label, blk, band = (t.column(c).to_numpy() for c in ("node", "label", "blk", "band"))
-        same_block = n and t.column("lo")[0] == t.column("hi")[0]
-        first, second = [], []
-        for at in range(0, n, 32):
-            part = slice(at, at + 32)
-            equal = sig[part, None, :] == sig[None, :, :]
-            ok = (equal.mean(2) >= least) & (label[part, None] != label[None, :]) & (node[part, None] < node[None, :])
-            if not same_block:
-                ok &= blk[part, None] != blk[None, :]
-            i, j = np.nonzero(ok)
-            shared = equal[i, j].reshape(len(i), BANDS, ROWS).all(2).argmax(1)
-            mine = shared == band[0]
-            first.append(node[part][i[mine]])
-            second.append(node[j[mine]])
-        empty = np.zeros(0, node.dtype)
-        return pa.table({"a": pa.array(np.concatenate([empty, *first])), "b": pa.array(np.concatenate([empty, *second]))})
-
+def _candidates(t) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs of one block pair across components, by signatures, each only in the first band that it shares."""
+    n = t.num_rows
+    sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint32).reshape(n, BANDS * ROWS)
+    node, label, blk, band, lo, hi, least = (t.column(c).to_numpy() for c in ("node", "label", "blk", "band", "lo", "hi", "least"))
+    first, second = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for at in range(0, n, 32):
+        part = slice(at, at + 32)
+        equal = sig[part, None, :] == sig[None, :, :]
+        ok = (equal.mean(2) >= least[0]) & (label[part, None] != label[None, :]) & (node[part, None] < node[None, :])
+        if lo[0] != hi[0]:
+            ok &= blk[part, None] != blk[None, :]
+        i, j = np.nonzero(ok)
+        mine = equal[i, j].reshape(len(i), BANDS, ROWS).all(2).argmax(1) == band[0]
+        first.append(i[mine] + at)
+        second.append(j[mine])
+    return np.concatenate(first), np.concatenate(second)
+
+
+def _hit(t):
+    """The rows of one block pair that are in a pair of candidates."""
+    return t.take(np.unique(np.concatenate(_candidates(t))))
+
+
+def _links_inside(t):
+    """A spanning forest of the similar pairs of one block pair, by their full sets."""
+    import pyarrow as pa
+
+    node, label, percent = t.column("node").to_numpy(), t.column("label").to_pylist(), t.column("percent")[0].as_py()
+    sets = [np.frombuffer(s, np.uint64) for s in t.column("set").to_pylist()]
+    up = {x: x for x in label}
+
+    def root(x):
+        while up[x] != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    i, j = _candidates(t)
+    first, second = [], []
+    for x in np.unique(i).tolist():
+        others = [y for y in j[i == x].tolist() if root(label[x]) != root(label[y]) and 100 * min(len(sets[x]), len(sets[y])) >= percent * max(len(sets[x]), len(sets[y]))]
+        for y in others:
+            if root(label[x]) == root(label[y]):
+                continue
+            at = np.minimum(np.searchsorted(sets[x], sets[y]), len(sets[x]) - 1)
+            common = int(np.count_nonzero(sets[x][at] == sets[y]))
+            if 100 * common >= percent * (len(sets[x]) + len(sets[y]) - common):
+                up[root(label[x])] = root(label[y])
+                first.append(x)
+                second.append(y)
+    return pa.table({"a": pa.array(node[first] if first else node[:0]), "b": pa.array(node[second] if second else node[:0])})
+
+
+def _across_blocks(docs: DataFrame, own: DataFrame, reps: DataFrame, size: int, least: float, similarity: int) -> DataFrame:
+    """a, b: links across components in the large buckets of ``own``, enough of them to join what is similar.
+
+    Blocks of nodes meet inside tasks, first by signatures, then those of candidates by full sets; no pair that is not a link
+    becomes a row. The number of blocks follows a bucket's nodes and the size of their sets, which bounds a task's memory.
+    """
+    own = own.join(reps.select("node", "sig", "n_shingles"), "node")
+    blocks = own.groupBy("bucket").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n_shingles") / WEIGHT)).cast("int").alias("blocks"))
+    dealt = own.join(blocks, "bucket").withColumn("blk", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("bucket", F.least("blk", "_o").alias("lo"), F.greatest("blk", "_o").alias("hi"), "band", "node", "label", "sig", "blk", F.lit(least).alias("least"), F.lit(similarity).alias("percent"))
+    hit = staged(dealt.groupBy("bucket", "lo", "hi").applyInArrow(_hit, dealt.schema), "near-blocks")
+    sets = staged(_sets(docs, hit.select("node").distinct(), size), "near-sets")
     kind = reps.schema["node"].dataType
-    return dealt.groupBy("bucket", "lo", "hi").applyInArrow(compare, T.StructType([T.StructField("a", kind), T.StructField("b", kind)]))
+    return hit.join(sets, "node").groupBy("bucket", "lo", "hi").applyInArrow(_links_inside, T.StructType([T.StructField("a", kind), T.StructField("b", kind)])).distinct()
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
@@ -168,7 +208,7 @@ def components(links: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, similarity: int = SIMILARITY) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row of ``docs(doc_id, text)``; similarity in percent."""
     signed = staged(_signed(docs, size), "near-signed")
-    classes = signed.filter("set_key IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("node"), F.first("sig").alias("sig")).filter("node IS NOT NULL")
+    classes = signed.filter("set_key IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("node"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles")).filter("node IS NOT NULL")
     reps = staged(classes, "near-classes")
     buckets = reps.select("node", F.posexplode(F.array(*[F.xxhash64(F.lit(i), F.expr(f"substring(sig, {i * ROWS * 4 + 1}, {ROWS * 4})")) for i in range(BANDS)])).alias("band", "bucket"))
     shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
@@ -190,14 +230,13 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, similarity: int = SIMI
     few = own.filter(F.col("n") <= SMALL)
     x, y = few.select("bucket", F.col("node").alias("a"), F.col("label").alias("la")), few.select("bucket", F.col("node").alias("b"), F.col("label").alias("lb"))
     cross = x.join(y, "bucket").filter("a < b AND la <> lb").select("a", "b").distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
-    cross = staged(_near_signatures(cross, reps, least).select("a", "b").union(_across_blocks(own.filter(F.col("n") > SMALL), reps, least)).distinct(), "near-cross")
-    if not cross.isEmpty():
-        new = cross.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(sets.select("node"), "node", "left_anti")
-        if not new.isEmpty():
-            sets = sets.unionByName(staged(_sets(docs, new, size), "near-sets"))
-        more = staged(_verified(cross, sets, similarity), "near-verified")
-        if not more.isEmpty():
-            label = components(links.unionByName(more))
+    cross = staged(_near_signatures(cross, reps, least).select("a", "b"), "near-cross")
+    new = cross.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(sets.select("node"), "node", "left_anti")
+    sets = sets.unionByName(staged(_sets(docs, new, size), "near-sets"))
+    more = _verified(cross, sets, similarity).unionByName(_across_blocks(docs, own.filter(F.col("n") > SMALL), reps, size, least, similarity))
+    more = staged(more, "near-verified")
+    if not more.isEmpty():
+        label = components(links.unionByName(more))
 
     classes = reps.select("set_key", "node").join(label, "node", "left").select("set_key", F.coalesce("label", "node").alias("label"))
     out = signed.select("doc_id", "n_shingles", "set_key").join(classes, "set_key", "left")
