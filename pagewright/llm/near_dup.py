@@ -4,8 +4,8 @@ Two permutations of the 32-bit circle make all signature coordinates: the first
 by one place for each coordinate, orders them; a coordinate is the least place that any shingle gets. Coordinates in bands of
 ROWS make buckets. With 24 bands of 4, a pair at similarity 0.8 shares no bucket with probability 3e-6.
 
-Documents with equal shingle sets are one node. In each bucket every node is compared with HUBS hubs, of each part of the
-bucket the node that shares most buckets with others; verified links are joined into components. Where a bucket still holds
+Documents with equal shingle sets are one node. In each bucket every node is compared with one hub, the node that shares most
+buckets with others; verified links are joined into components. Where a bucket still holds
 several components, all pairs across them are compared too; in large buckets one block of nodes meets another inside a task, which
 compares signatures and full sets and gives links only, each pair only in the first band that it shares, so that pairs that are
 not links never become rows. A comparison first looks at the signatures (an
@@ -34,7 +34,6 @@ SLACK = 0.17
 SMALL, BLOCK = 24, 512
 #: As many shingles as a block has at most, on average (8 bytes each).
 WEIGHT = 2_000_000
-HUBS = 4
 P = [np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 SHIFTS = np.arange(BANDS * ROWS, dtype=np.uint32)[:, None]
 LETTERS = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
@@ -214,7 +213,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, similarity: int = SIMI
     shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     members = staged(buckets.join(shared, "bucket"), "near-members")
     known = members.groupBy("node").agg(F.sum("n").alias("known"))
-    hubs = members.join(known, "node").groupBy("bucket", F.pmod(F.xxhash64("node"), F.lit(HUBS))).agg(F.max(F.struct("known", F.col("node").alias("hub"))).alias("h")).select("bucket", F.col("h.hub").alias("hub"))
+    hubs = members.join(known, "node").groupBy("bucket").agg(F.max(F.struct("known", F.col("node").alias("hub"))).alias("h")).select("bucket", F.col("h.hub").alias("hub"))
     star = members.join(hubs, "bucket").filter("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
     least = similarity / 100 - SLACK
     tested = staged(_near_signatures(star, reps, least - 0.1), "near-tested")
@@ -235,10 +234,12 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, similarity: int = SIMI
     sets = sets.unionByName(staged(_sets(docs, new, size), "near-sets"))
     more = _verified(cross, sets, similarity).unionByName(_across_blocks(docs, own.filter(F.col("n") > SMALL), reps, size, least, similarity))
     more = staged(more, "near-verified")
-    if not more.isEmpty():
-        label = components(links.unionByName(more))
-
     classes = reps.select("set_key", "node").join(label, "node", "left").select("set_key", F.coalesce("label", "node").alias("label"))
+    if not more.isEmpty():  # components joined by them: a graph of labels
+        to = lambda side: label.select(F.col("node").alias(side), F.col("label").alias("l" + side))
+        between = more.join(to("a"), "a", "left").join(to("b"), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).filter("a <> b")
+        last = components(between).select(F.col("node").alias("label"), F.col("label").alias("last"))
+        classes = classes.join(last, "label", "left").select("set_key", F.coalesce("last", "label").alias("label"))
     out = signed.select("doc_id", "n_shingles", "set_key").join(classes, "set_key", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
