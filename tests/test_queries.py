@@ -6,7 +6,9 @@ import os
 import duckdb
 import pytest
 
-from pagewright.plans.queries import ORACLE_SQL, QUERIES
+from pagewright.plans import queries, site_queries
+
+ORACLE_SQL, QUERIES = queries.ORACLE_SQL | site_queries.ORACLE_SQL, queries.QUERIES | site_queries.QUERIES
 
 SF = "/root/testdata/sf0.001"
 
