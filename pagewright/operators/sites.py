@@ -113,7 +113,7 @@ def path_clusters(pages: DataFrame) -> DataFrame:
 
 def cluster_summary(members: DataFrame) -> DataFrame:
     """Per cluster: size, pillar (highest score, ties to the first page), authority, share of linked pages, repeated title openings."""
-    opening = F.lower(F.array_join(F.slice(F.split(tx.strip(F.coalesce("title", F.lit(""))), r"\s+"), 1, 3), " "))
+    opening = F.nullif(F.lower(F.array_join(F.slice(F.split(tx.strip(F.coalesce("title", F.lit(""))), r"\s+"), 1, 3), " ")), F.lit(""))
     return members.groupBy("cluster_id").agg(
         F.count(F.lit(1)).alias("pages"), F.max_by("url", F.struct(F.expr(PILLAR).alias("s"), (-F.col("ord")).alias("o"))).alias("pillar"),
         F.least(F.lit(100), F.sum("internal_links") * 5).alias("authority"), F.round(F.count_if(F.col("internal_links") > 0) / F.count(F.lit(1)), 4).alias("linked"),

@@ -6,9 +6,10 @@ import os
 import duckdb
 import pytest
 
-from pagewright.plans import queries, site_queries
+from pagewright.plans import queries, report_queries, site_queries
 
-ORACLE_SQL, QUERIES = queries.ORACLE_SQL | site_queries.ORACLE_SQL, queries.QUERIES | site_queries.QUERIES
+ORACLE_SQL = queries.ORACLE_SQL | site_queries.ORACLE_SQL | report_queries.ORACLE_SQL
+QUERIES = queries.QUERIES | site_queries.QUERIES | report_queries.QUERIES
 
 SF = "/root/testdata/sf0.001"
 
