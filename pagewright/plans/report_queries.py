@@ -7,7 +7,7 @@ import json
 from pyspark.sql import functions as F
 
 from ..functions import url as ur
-from ..operators import audits, clusters, feed, fixes, graph, sites, speed, trends
+from ..operators import audits, clusters, feed, fixes, graph, sites, speed, suggest, trends
 from . import queries as q
 from .queries import ISSUES, PAGES, _RING, _STRIP, _values
 from .rules import SPEED_RULES, evaluate, rule_input, union_sql
@@ -117,6 +117,11 @@ def q_head_titles(spark, sf):
     return q.read(spark, sf, "pages").select("page_id", F.md5(fixes.with_title(F.col("html"), F.concat(F.lit("Page & <no> "), F.col("page_id")))).alias("digest"))
 
 
+def q_suggestions(spark, sf):
+    i = q.issues(spark, sf).withColumns({"name": F.col("host"), "domain": F.concat(F.lit("https://"), "host", F.lit("/"))})
+    return suggest.suggestions(i).select("ord", "type", "suggestion")
+
+
 def q_redirect_rules(spark, sf):
     h = _relation(spark, q.HOPS, "url string, status_code int, location string")
     return evaluate(redirect_input(sites.redirect_chains(h)), REDIRECT_RULES, "start_url")
@@ -156,6 +161,9 @@ def q_sitemap_missing(spark, sf):
 
 QUERIES = {k[2:]: v for k, v in list(globals().items()) if k.startswith("q_")}
 
+_SLUG = "regexp_extract(regexp_replace(affected_url, '/+$', ''), '[^/]*$', 0)"
+_LABEL = f"coalesce(nullif(array_to_string(list_transform(string_split(replace({_SLUG}, '-', ' '), ' '), lambda w: upper(w[1]) || lower(w[2:])), ' '), ''), 'Home')"
+_TEMPLATE = "CASE type " + " ".join(f"WHEN '{t}' THEN '{x}'" for t, x in suggest.TEMPLATES.items()) + " END"
 _J = lambda path, kind: f"TRY_CAST(json_extract_string(b, '{path}') AS {kind})"
 _CAT = lambda k: f"CAST(trunc({_J(f'$.lighthouseResult.categories.\"{k}\".score', 'DOUBLE')} * 100) AS INT)"
 _LAB = lambda k: f"round({_J(f'$.lighthouseResult.audits.\"{k}\".numericValue', 'DOUBLE')}, 2)"
@@ -208,6 +216,8 @@ ORACLE_SQL = {
       SELECT i.ord, i.type, i.affected_url, CASE WHEN o % 2 = 0 THEN 'fixed' ELSE 'open' END AS status, CASE WHEN o % 2 = 0 THEN 'auto' END AS applied_by, CASE WHEN o % 2 = 0 THEN 'c0ffee' END AS commit, CASE WHEN o % 2 = 0 THEN '' END AS fix_diff, CASE WHEN o % 2 <> 0 THEN 'failed' END AS fix_error FROM issues i LEFT JOIN x USING (type, affected_url)""",
     "keyword_rows": f"WITH {q.FACTS}, g AS (SELECT query, {q._M} FROM f GROUP BY query) SELECT query, clicks, impressions, position, round(clicks / greatest(impressions, 1), 6) AS ctr FROM g ORDER BY clicks DESC, query LIMIT 50",
     "head_titles": "SELECT page_id, md5(CASE WHEN regexp_matches(html, '(?is)<title>.*?</title>') THEN regexp_replace(html, '(?is)<title>.*?</title>', t) ELSE regexp_replace(html, '(?i)</head>', '  ' || t || chr(10) || '  </head>') END) AS digest FROM (SELECT *, '<title>Page &amp; &lt;no&gt; ' || page_id || '</title>' AS t FROM pages)",
+    "suggestions": f"""WITH {ISSUES}, t AS (SELECT ord, type, {_TEMPLATE} AS x, host, affected_url, {_SLUG} AS slug, {_LABEL} AS label FROM issues)
+      SELECT ord, type, replace(replace(replace(replace(replace(x, '{{name}}', host), '{{domain}}', 'https://' || host), '{{url}}', regexp_replace(affected_url, '[#?].*$', '')), '{{slug}}', slug), '{{label}}', label) AS suggestion FROM t WHERE x IS NOT NULL""",
     "redirect_rules": f"WITH c0 AS ({q.ORACLE_SQL['redirects']}), c AS (SELECT *, {q._NET('start_url')} AS start_host, {q._NET('final_url')} AS final_host FROM c0) " + union_sql("c", REDIRECT_RULES, "start_url"),
     "robots_rules": f"WITH r AS (SELECT *, 200 AS status_code FROM ({q.ORACLE_SQL['robots']})) " + union_sql("r", ROBOTS_RULES, "domain"),
     "link_rules": f"""WITH {_RING}, dep AS ({q.ORACLE_SQL['click_depth']}), v AS (SELECT 'n' || k AS url, 200 AS status_code FROM n), deg AS (SELECT url, status_code, (SELECT count(*) FROM e WHERE dst = v.url) AS in_degree, (SELECT count(*) FROM e WHERE src = v.url) AS out_degree FROM v),

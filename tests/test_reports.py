@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from pagewright.operators import audits, clusters, delta, feed, fixes
+from pagewright.operators import audits, clusters, delta, feed, fixes, suggest
 from pagewright.plans import site_rules
 
 
@@ -88,3 +88,12 @@ def test_redirect_relations(spark):
     pages = spark.createDataFrame([("/p", ["/a", "/c"], 503, i) for i in range(3)], "url string, internal_link_urls array<string>, status_code int, ord int").withColumn("site", F.lit("s"))
     assert {tuple(r) for r in site_rules.links_to_redirects(pages, chains).collect()} == {("/p", "/a")}
     assert [(r.n, r.urls) for r in site_rules.server_errors(pages, "site").collect()] == [(3, ["/p"] * 3)]
+
+
+def test_suggestions(spark):
+    rows = [("short_title", "https://x/a/new-shoes/", "low"), ("long_title", None, "high"), ("missing_canonical", "https://x/a?b#c", None), ("no_jsonld", "https://x/", "high"), ("missing_h1", "", "high")]
+    i = spark.createDataFrame(rows, "type string, affected_url string, severity string").withColumns({"name": F.lit("Ex"), "domain": F.lit("https://x/"), "priority": F.lit(None).cast("string")})
+    s = suggest.suggestions(i)
+    assert {(r.type, r.suggestion) for r in s.collect()} == {("short_title", "Ex | New Shoes"), ("long_title", "Shorten to: Ex | x"), ("missing_canonical", "https://x/a"), ("missing_h1", "Ex")}
+    assert [r.type for r in suggest.applicable(s, ("missing_canonical", "short_title"), ("missing_h1",)).collect()] == ["missing_h1"]
+    assert suggest.suggestions(i, {}).count() == 0
