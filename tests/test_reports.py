@@ -97,3 +97,10 @@ def test_suggestions(spark):
     assert {(r.type, r.suggestion) for r in s.collect()} == {("short_title", "Ex | New Shoes"), ("long_title", "Shorten to: Ex | x"), ("missing_canonical", "https://x/a"), ("missing_h1", "Ex")}
     assert [r.type for r in suggest.applicable(s, ("missing_canonical", "short_title"), ("missing_h1",)).collect()] == ["missing_h1"]
     assert suggest.suggestions(i, {}).count() == 0
+
+
+def test_competing_headings(spark):
+    rows = [("u1", ["Running Shoes"]), ("u2", [" running shoes "]), ("u3", ["Running shoes"]), ("u4", ["hats"]), ("u5", ["hats"]), ("u6", ["Winter coats"]), ("u7", ["winter coats"]), ("u8", None)]
+    members = spark.createDataFrame([("u1", "a"), ("u2", "a"), ("u6", "b"), ("u7", "b")], "url string, cluster_id string")
+    got = clusters.competing_headings(spark.createDataFrame(rows, "url string, h1 array<string>"), members, F.lit("s"))
+    assert [tuple(r) for r in got.collect()] == [("s", "running shoes", 3, 2)]
