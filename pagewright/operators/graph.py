@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.url import graph_form
+from ..functions.url import graph_form, netloc, path
 from ..storage import staged
 
 DAMPING, ITERATIONS = 0.85, 20
@@ -22,6 +22,12 @@ def edges(pages: DataFrame) -> DataFrame:
     return e.filter("dst <> '' AND dst <> src").distinct()
 
 
+def homes(pages: DataFrame) -> DataFrame:
+    """url of each host's home page: the first crawled page with an empty path, or the first crawled one where there is none."""
+    inner = F.replace(path(F.col("url")), F.lit("/"), F.lit("")) != ""
+    return pages.groupBy(netloc(F.col("url")).alias("host")).agg(F.min_by(graph_form(F.col("url")), F.struct(inner, F.col("ord"))).alias("url")).select("url")
+
+
 def degrees(v: DataFrame, e: DataFrame) -> DataFrame:
     """in_degree and out_degree of every crawled URL, in one pass over the edges."""
     ends = e.select(F.explode(F.array(F.struct(F.col("src").alias("url"), F.lit(1).alias("o"), F.lit(0).alias("i")), F.struct(F.col("dst").alias("url"), F.lit(0).alias("o"), F.lit(1).alias("i")))).alias("x")).select("x.*")
@@ -45,10 +51,12 @@ def broken_links(pages: DataFrame, v: DataFrame) -> DataFrame:
     return links.join(bad, "dst").select(F.col("url").alias("affected_url"), "dst", F.when(F.col("status_code") == 404, "high").otherwise("medium").alias("severity"))
 
 
-def click_depth(e: DataFrame, homepage: str, most: int = 50) -> DataFrame:
-    """Least number of clicks from the homepage; unreachable URLs are absent. One anti join a level."""
-    frontier = e.sparkSession.range(1).select(graph_form(F.lit(homepage)).alias("url"), F.lit(0).alias("depth"))
-    seen = staged(frontier, "depth")
+def click_depth(e: DataFrame, homepage: str | DataFrame, most: int = 50) -> DataFrame:
+    """Least number of clicks from the homepage (or from the nearest of ``homes``); unreachable URLs are absent. One anti join a
+    level."""
+    home = e.sparkSession.range(1).select(graph_form(F.lit(homepage)).alias("url")) if isinstance(homepage, str) else homepage.select("url").distinct()
+    e = staged(e, "links")  # read once a level
+    seen = staged(home.withColumn("depth", F.lit(0)), "depth")
     frontier = seen
     for level in range(1, most + 1):
         new = e.join(frontier.select(F.col("url").alias("src")), "src").select(F.col("dst").alias("url")).distinct().join(seen, "url", "left_anti")
@@ -59,15 +67,20 @@ def click_depth(e: DataFrame, homepage: str, most: int = 50) -> DataFrame:
     return seen
 
 
-def pagerank(v: DataFrame, e: DataFrame, iterations: int = ITERATIONS, damping: float = DAMPING) -> DataFrame:
-    """url and rank of crawled URLs. Links to uncrawled targets count in a page's out-degree; the mass of dead ends is lost."""
-    n = v.count()
+def pagerank(v: DataFrame, e: DataFrame, iterations: int = ITERATIONS, damping: float = DAMPING, site: Column | None = None) -> DataFrame:
+    """url and rank of crawled URLs. Links to uncrawled targets count in a page's out-degree; the mass of dead ends is lost.
+    With ``site``, a column of ``v``, each site's ranks are those of its own graph; links don't lead from site to site."""
+    if site is None:
+        sized = v.select("url", F.lit(max(v.count(), 1)).alias("n"))
+    else:
+        s = v.select("url", site.alias("site"))
+        sized = s.join(F.broadcast(s.groupBy("site").agg(F.count(F.lit(1)).alias("n"))), "site").select("url", "n")  # one row a site
     out = e.groupBy("src").agg(F.count(F.lit(1)).alias("out"))
     links = staged(e.join(v.select(F.col("url").alias("dst")), "dst", "left_semi").join(out, "src").join(v.select(F.col("url").alias("src")), "src", "left_semi"), "rank-links")
-    rank = staged(v.select("url", F.lit(1.0 / max(n, 1)).alias("rank")), "rank")
+    rank = staged(sized.select("url", "n", (1.0 / F.col("n")).alias("rank")), "rank")
     for i in range(iterations):
         sent = links.join(rank.select(F.col("url").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("url")).agg(F.sum(F.col("rank") / F.col("out")).alias("got"))
-        rank = rank.select("url").join(sent, "url", "left").select("url", ((1 - damping) / max(n, 1) + damping * F.coalesce("got", F.lit(0.0))).alias("rank"))
+        rank = rank.select("url", "n").join(sent, "url", "left").select("url", "n", ((1 - damping) / F.col("n") + damping * F.coalesce("got", F.lit(0.0))).alias("rank"))
         if i % 5 == 4:
             rank = staged(rank, "rank")  # cuts the lineage
-    return rank
+    return rank.select("url", "rank")

@@ -112,6 +112,18 @@ def q_click_depth(spark, sf):
     return graph.click_depth(_ring(spark, sf)[1], "n0").select("url", F.col("depth").cast("bigint").alias("depth"))
 
 
+def q_page_pagerank(spark, sf):
+    """PageRank of the crawled pages, each host a graph of its own."""
+    p = pages(spark, sf)
+    return graph.pagerank(graph.vertices(p), graph.edges(p), site=ur.netloc(F.col("url"))).select("url", F.round("rank", 8).alias("rank"))
+
+
+def q_page_click_depth(spark, sf):
+    """Clicks from the home page of each host to all that can be reached there, crawled or not."""
+    p = pages(spark, sf)
+    return graph.click_depth(graph.edges(p), graph.homes(p)).select("url", F.col("depth").cast("bigint").alias("depth"))
+
+
 def q_simhash(spark, sf):
     return duplicates.simhash(read(spark, sf, "documents"), "doc_id", F.col("text"))
 
@@ -253,6 +265,7 @@ bits AS (SELECT {key}, {_BITS(key)} FROM tok GROUP BY {key}),
 hs AS (SELECT {key}, CASE WHEN u >= 9223372036854775808 THEN (u::HUGEINT - 18446744073709551616::HUGEINT)::BIGINT ELSE u::BIGINT END AS hash FROM (SELECT {key}, {' | '.join(f'b{i}' for i in range(64))} AS u FROM bits))"""
 _RING = "n AS (SELECT n_nationkey AS k, n_regionkey AS r FROM nation), e AS (SELECT DISTINCT src, dst FROM (SELECT 'n' || k AS src, 'n' || unnest([(k * 2 + 1) % 25, (k + 5) % 25, r, 99]) AS dst FROM n) WHERE src <> dst)"
 _PR = ", ".join(f"r{i + 1} AS (SELECT 'n' || k AS url, 0.15::DOUBLE / 25 + 0.85::DOUBLE * coalesce((SELECT sum(r{i}.rank / o) FROM e JOIN od ON od.src = e.src JOIN r{i} ON r{i}.url = e.src WHERE e.dst = 'n' || k), 0) AS rank FROM n)" for i in range(20))
+_PAGE_PR = ", ".join(f"r{i + 1} AS (SELECT r{i}.url, n, 0.15::DOUBLE / n + 0.85::DOUBLE * coalesce(got, 0) AS rank FROM r{i} LEFT JOIN (SELECT dst, sum(rank / o) AS got FROM e JOIN od USING (src) JOIN r{i} ON url = src GROUP BY dst) ON dst = r{i}.url)" for i in range(20))
 _WIN = lambda w: f"SELECT start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM {w} GROUP BY ALL"
 
 ORACLE_SQL = {
@@ -267,6 +280,9 @@ ORACLE_SQL = {
     "orphan_pages": f"WITH {EDGES} SELECT url FROM v WHERE url NOT IN (SELECT dst FROM e)",
     "pagerank": f"WITH {_RING}, od AS (SELECT src, count(*) AS o FROM e GROUP BY src), r0 AS (SELECT 'n' || k AS url, 1.0::DOUBLE / 25 AS rank FROM n), {_PR} SELECT url, round(rank, 8) AS rank FROM r20",
     "click_depth": f"WITH RECURSIVE {_RING}, d AS (SELECT 'n0' AS url, 0::BIGINT AS depth UNION SELECT dst, depth + 1 FROM d JOIN e ON src = url WHERE depth < 12) SELECT url, min(depth)::BIGINT AS depth FROM d GROUP BY url",
+    "page_pagerank": f"WITH {EDGES}, od AS (SELECT src, count(*) AS o FROM e GROUP BY src), r0 AS (SELECT url, n, 1.0::DOUBLE / n AS rank FROM (SELECT url, count(*) OVER (PARTITION BY {_NET('url')}) AS n FROM v)), {_PAGE_PR} SELECT url, round(rank, 8) AS rank FROM r20",
+    "page_click_depth": f"""WITH RECURSIVE {EDGES}, home AS (SELECT {_GRAPH('url')} AS url FROM (SELECT url, row_number() OVER (PARTITION BY host ORDER BY is_home DESC, ord) AS r FROM p) WHERE r = 1), most AS (SELECT count(*) AS most FROM e),
+      d AS (SELECT url, 0::BIGINT AS depth FROM home UNION SELECT dst, depth + 1 FROM d JOIN e ON src = url, most WHERE depth < most) SELECT url, min(depth)::BIGINT AS depth FROM d GROUP BY url""",
     "simhash": f"WITH {_HASH('documents', 'doc_id', 'text')} SELECT doc_id, coalesce(hash, 0) AS hash FROM documents LEFT JOIN hs USING (doc_id)",
     "near_pairs": f"""WITH {PAGES}, q AS (SELECT page_id AS ord, {_NET('url')} AS host, regexp_replace(regexp_replace(html, '(?is)<!--.*?-->|<script\\b.*?</script>|<style\\b.*?</style>|<noscript\\b.*?</noscript>', ' ', 'g'), '(?s)<[^>]*>|&[A-Za-z0-9#]+;', ' ', 'g') AS txt FROM pages),
 {_HASH('q', 'ord', 'txt')}, g AS (SELECT ord, host, coalesce(hash, 0) AS hash FROM q LEFT JOIN hs USING (ord)) SELECT x.host, x.ord AS a, y.ord AS b, bit_count(xor(x.hash, y.hash))::BIGINT AS distance FROM g x JOIN g y ON x.host = y.host AND x.ord < y.ord WHERE bit_count(xor(x.hash, y.hash)) <= 10""",

@@ -137,6 +137,12 @@ def q_link_rules(spark, sf):
     return evaluate(link_input(graph.degrees(v, e), graph.click_depth(e, "n0"), "n0"), LINK_RULES, "url")
 
 
+def q_page_link_rules(spark, sf):
+    p = q.pages(spark, sf)
+    e = graph.edges(p)
+    return evaluate(link_input(graph.degrees(graph.vertices(p), e), graph.click_depth(e, graph.homes(p))), LINK_RULES, "url")
+
+
 def q_cluster_rules(spark, sf):
     return evaluate(sites.cluster_summary(sites.path_clusters(q.pages(spark, sf))), CLUSTER_RULES, "cluster_id")
 
@@ -222,6 +228,9 @@ ORACLE_SQL = {
     "robots_rules": f"WITH r AS (SELECT *, 200 AS status_code FROM ({q.ORACLE_SQL['robots']})) " + union_sql("r", ROBOTS_RULES, "domain"),
     "link_rules": f"""WITH {_RING}, dep AS ({q.ORACLE_SQL['click_depth']}), v AS (SELECT 'n' || k AS url, 200 AS status_code FROM n), deg AS (SELECT url, status_code, (SELECT count(*) FROM e WHERE dst = v.url) AS in_degree, (SELECT count(*) FROM e WHERE src = v.url) AS out_degree FROM v),
       l AS (SELECT url, status_code, in_degree, out_degree, depth, url = 'n0' AS is_home FROM deg FULL JOIN dep USING (url)) """ + union_sql("l", LINK_RULES, "url"),
+    "page_link_rules": f"""WITH {q.EDGES}, dep AS ({q.ORACLE_SQL['page_click_depth']}), i AS (SELECT dst AS url, count(*) AS n FROM e GROUP BY dst), o AS (SELECT src AS url, count(*) AS n FROM e GROUP BY src),
+      deg AS (SELECT v.url, 200 AS status_code, coalesce(i.n, 0) AS in_degree, coalesce(o.n, 0) AS out_degree FROM v LEFT JOIN i USING (url) LEFT JOIN o USING (url)),
+      l AS (SELECT url, status_code, in_degree, out_degree, depth, coalesce(depth = 0, false) AS is_home FROM deg FULL JOIN dep USING (url)) """ + union_sql("l", LINK_RULES, "url"),
     "cluster_rules": f"""WITH {PAGES}, {_PATHS}, t AS (SELECT *, nullif(lower(array_to_string(regexp_split_to_array({_STRIP("coalesce(title, '')")}, '\\s+')[1:3], ' ')), '') AS opening FROM m),
       c AS (SELECT cluster_id, count(*) FILTER (il > 0) / count(*) AS linked, count(opening) <> count(DISTINCT opening) AS cannibalised FROM t GROUP BY 1) """ + union_sql("c", CLUSTER_RULES, "cluster_id"),
     "sitemap_rules": f"WITH a AS (SELECT *, true AS found, false AS parse_error, false AS is_index, 0 AS children, 1000 AS bytes, length(domain) % 2 AS missing FROM ({q.ORACLE_SQL['sitemap_audit']})) " + union_sql("a", SITEMAP_RULES, "domain"),

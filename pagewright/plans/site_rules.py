@@ -48,10 +48,11 @@ CLUSTER_RULES = [
 ]
 
 
-def link_input(degrees: DataFrame, depth: DataFrame, homepage: str) -> DataFrame:
-    """url, status_code, degrees, depth and is_home of crawled URLs and of all that can be reached."""
+def link_input(degrees: DataFrame, depth: DataFrame, homepage: str | None = None) -> DataFrame:
+    """url, status_code, degrees, depth and is_home of crawled URLs and of all that can be reached. No homepage: URLs of depth 0 are home."""
     d = degrees.join(depth, "url", "full_outer")
-    return d.select("url", "status_code", "in_degree", "out_degree", "depth", (F.col("url") == ur.graph_form(F.lit(homepage))).alias("is_home"))
+    is_home = F.coalesce(F.col("depth") == 0, F.lit(False)) if homepage is None else F.col("url") == ur.graph_form(F.lit(homepage))
+    return d.select("url", "status_code", "in_degree", "out_degree", "depth", is_home.alias("is_home"))
 
 
 def redirect_input(chains: DataFrame) -> DataFrame:

@@ -3,8 +3,10 @@
 import pytest
 from pyspark.sql import functions as F
 
+from pagewright.functions.url import netloc
 from pagewright.operators import delta, duplicates, graph, parse, rank, sites
 from pagewright.plans.rules import PAGE_RULES, SPEED_RULES, evaluate, rule_input
+from pagewright.plans.site_rules import LINK_RULES, link_input
 
 HTML = """<html lang="de"><head><title>Beispiel &amp; Co</title><meta name="description" content="Eine Seite."><meta property="og:title" content="X">
 <link rel="canonical" href="https://ex.com/a"><script type="application/ld+json">{"@type": "Organization", "name": "Ex"}</script></head>
@@ -55,6 +57,23 @@ def test_graph(spark):
     assert {r.url: r.depth for r in graph.click_depth(e, "https://x/").collect()} == {"https://x/": 0, "https://x/blog": 1, "https://x/about": 1, "https://x/p1": 2}
 
 
+def test_graph_of_hosts(spark):
+    """Each host has its own home page and ranks; a host without a crawled root starts at its first page."""
+    pages = [("https://a/x", ["https://a/", "https://a/y"]), ("https://a/", ["https://a/x"]), ("https://a/y", []), ("https://b/p", ["https://b/q"]), ("https://b/q", ["https://b/r"]), ("https://b/lost", ["https://b/p"])]
+    p = spark.createDataFrame([(u, 200, links, i) for i, (u, links) in enumerate(pages)], "url string, status_code int, internal_link_urls array<string>, ord int")
+    v, e, site = graph.vertices(p), graph.edges(p), netloc(F.col("url"))
+    assert {r.url for r in graph.homes(p).collect()} == {"https://a/", "https://b/p"}
+    depth = graph.click_depth(e, graph.homes(p))
+    assert {r.url: r.depth for r in depth.collect()} == {"https://a/": 0, "https://a/x": 1, "https://a/y": 2, "https://b/p": 0, "https://b/q": 1, "https://b/r": 2}
+    found = {(r.url, r.type) for r in evaluate(link_input(graph.degrees(v, e), depth), LINK_RULES, "url").collect()}
+    assert found == {("https://b/lost", "unreachable_page"), ("https://b/lost", "orphan_page")}
+    ranks = {r.url: r.rank for r in graph.pagerank(v, e, site=site).collect()}
+    for host in ("a", "b"):
+        mine = v.filter(site == host), e.filter(F.col("src").startswith(f"https://{host}/"))
+        alone = {r.url: r.rank for r in graph.pagerank(*mine).collect()}
+        assert all(abs(ranks[u] - r) < 1e-12 for u, r in alone.items()) and len(alone) == 3
+
+
 def test_simhash_pairs_equal_brute_force(spark):
     import random
 
