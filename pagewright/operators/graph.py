@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,19 +53,21 @@ def broken_links(pages: DataFrame, v: DataFrame) -> DataFrame:
     return links.join(bad, "dst").select(F.col("url").alias("affected_url"), "dst", F.when(F.col("status_code") == 404, "high").otherwise("medium").alias("severity"))
 
 
-def click_depth(e: DataFrame, homepage: str | DataFrame, most: int = 50) -> DataFrame:
+def click_depth(e: DataFrame, homepage: str | DataFrame) -> DataFrame:
     """Least number of clicks from the homepage (or from the nearest of ``homes``); unreachable URLs are absent. One anti join a
-    level."""
+    level, until a level has no new URL."""
     home = e.sparkSession.range(1).select(graph_form(F.lit(homepage)).alias("url")) if isinstance(homepage, str) else homepage.select("url").distinct()
     e = staged(e, "links")  # read once a level
     seen = staged(home.withColumn("depth", F.lit(0)), "depth")
     frontier = seen
-    for level in range(1, most + 1):
+    for level in count(1):
         new = e.join(frontier.select(F.col("url").alias("src")), "src").select(F.col("dst").alias("url")).distinct().join(seen, "url", "left_anti")
         frontier = staged(new.select("url", F.lit(level).alias("depth")), "depth")
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
+        if level % 16 == 0:
+            seen = staged(seen, "depth")  # so that plans of long chains stay short
     return seen
 
 

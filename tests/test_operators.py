@@ -7,6 +7,7 @@ from pagewright.functions.url import netloc
 from pagewright.operators import delta, duplicates, graph, parse, rank, sites
 from pagewright.plans.rules import PAGE_RULES, SPEED_RULES, evaluate, rule_input
 from pagewright.plans.site_rules import LINK_RULES, link_input
+from pagewright.storage import staged
 
 HTML = """<html lang="de"><head><title>Beispiel &amp; Co</title><meta name="description" content="Eine Seite."><meta property="og:title" content="X">
 <link rel="canonical" href="https://ex.com/a"><script type="application/ld+json">{"@type": "Organization", "name": "Ex"}</script></head>
@@ -57,6 +58,17 @@ def test_graph(spark):
     assert {r.url: r.depth for r in graph.click_depth(e, "https://x/").collect()} == {"https://x/": 0, "https://x/blog": 1, "https://x/about": 1, "https://x/p1": 2}
 
 
+def test_click_depth_of_a_long_chain(spark):
+    """A chain of 53 clicks ends only where no URL is new, and its far pages are deep, not unreachable."""
+    pages = [(f"https://x/{i or ''}", 200, [f"https://x/{i + 1}"] if i < 53 else ["https://x/"], i) for i in range(54)]
+    p = spark.createDataFrame(pages, "url string, status_code int, internal_link_urls array<string>, ord int")
+    v, e = staged(graph.vertices(p), "chain"), staged(graph.edges(p), "chain")
+    depth = graph.click_depth(e, "https://x/")
+    assert {r.url: r.depth for r in depth.collect()} == {u: i for i, (u, *_) in enumerate(pages)}
+    found = evaluate(link_input(graph.degrees(v, e), depth, "https://x/"), LINK_RULES, "url").collect()
+    assert {r.type for r in found} == {"deep_page"} and len(found) == 50
+
+
 def test_graph_of_hosts(spark):
     """Each host has its own home page and ranks; a host without a crawled root starts at its first page."""
     pages = [("https://a/x", ["https://a/", "https://a/y"]), ("https://a/", ["https://a/x"]), ("https://a/y", []), ("https://b/p", ["https://b/q"]), ("https://b/q", ["https://b/r"]), ("https://b/lost", ["https://b/p"])]
