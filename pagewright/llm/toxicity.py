@@ -36,8 +36,8 @@ CUT = 0.3
 WIDTH, SPAN, GAP = 16, 6, 0.6
 LANDMARKS, NEGATIVES, ROUNDS, COST = 384, 6_000, 3, 4.0
 LEET = str.maketrans("013457@$!|+", "oieastasiit")
-SPELLED = re.compile(r" \w \w \w \w")
-SINGLES = re.compile(r"(?<!\w)(?:\w[\s.\-_*]{1,3}){3,}\w(?!\w)")
+#: Letters spelled out. An underscore is a mark between letters only, so each text has one reading and lines of marks cost no backtracking.
+SINGLES = re.compile(r"(?<![^\W_])(?:[^\W_][\s.\-_*]{1,3}){3,}[^\W_](?![^\W_])")
 TRIPLES = [(i, j, k, GAP ** (k - i - 2)) for i in range(WIDTH) for j in range(i + 1, WIDTH) for k in range(j + 1, min(WIDTH, i + SPAN))]
 PAIRS = [(i, j) for i in range(WIDTH - 2) for j in range(i + 1, min(WIDTH - 1, i + SPAN - 1))]
 #: Length of the feature vector of a word of n letters, repeats apart.
@@ -76,8 +76,7 @@ def tokens_of(text: str | None) -> set[str]:
     for mark in (". ", ", "):  # most marks at words' ends, so that fewer spellings are met
         plain = plain.replace(mark, " ")
     found = set(plain.split())
-    if SPELLED.search(plain):
-        found.update("".join(c for c in m if c.isalnum()) for m in SINGLES.findall(text))
+    found.update("".join(c for c in m if c.isalnum()) for m in SINGLES.findall(text))
     return found
 
 

@@ -165,6 +165,25 @@ def test_string_kernel_tolerates_gaps_and_insertions():
     assert near.min() > 0.5 > 0.2 > far.max()
 
 
+def test_spelled_words_by_every_mark_and_gap():
+    ways = [gap.join("idiot") for gap in (" ", ".", "-", "_", "*", " - ", " . ", "* ", "- ", "  ", "\t", " _ ")]
+    for way in ways:
+        assert all("idiot" in toxicity.tokens_of(text) for text in (way, f"such a man, {way} he is", f"so {way}")), way
+    assert "dumb" in toxicity.tokens_of("d u m b man") and "idiot" not in toxicity.tokens_of("id - io - t")
+    assert toxicity.tokens_of("_" * 3000 + "name " + "_ " * 3000)  # lines of marks end in linear time
+
+
+def test_gapped_insults_score_as_plain_ones(spark):
+    rng = random.Random(5)
+    words = ["".join(rng.choice("aeioulnrst") for _ in range(6)) for _ in range(300)]
+    clean = [" ".join(rng.choices(words, k=30)) for _ in range(300)]
+    insult = lambda t: " ".join([t, rng.choice(["dumbhead", "jackfool"])])
+    model = toxicity.fit([(insult(t), 1) for t in clean[:100]] + [(t, 0) for t in clean[100:]])
+    texts = [clean[0], clean[0] + " dumbhead", clean[0] + " d - u - m - b - h - e - a - d", clean[0] + " d. u. m. b. h. e. a. d"]
+    got = toxicity.score_toxicity(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).orderBy("doc_id").collect()
+    assert [r.predicted for r in got] == [0, 1, 1, 1]
+
+
 def test_odd_inputs(spark):
     odd, none = spark.createDataFrame(ODD, SCHEMA), spark.createDataFrame([], SCHEMA)
     labels = spark.createDataFrame([(2, None, None)], "doc_id long, quality int, toxic int")
