@@ -34,7 +34,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.curriculum(docs).select("doc_id", "source", *mixing.OUTPUTS)
+    return mixing.curriculum(docs).select("doc_id", "source", *mixing.OUTPUTS, "positions")
 
 
 STAGES = [("quality classifier", quality), ("line dedup", lines), ("near-duplicates", near_duplicates), ("decontamination", decontaminate), ("mixing", mix)]

@@ -4,7 +4,8 @@ Each source gets a target number of words by weight, held at ``max_repeats`` tim
 again by weight (water filling, in closed form over the sources sorted by where they are cut). A source's weight follows a
 linear schedule 1 + slope * (2t - 1) over the training time t in 0..1. Its integral F(t) = t + slope * (t^2 - t) says which
 share of the source's target is demanded by time t; inverting F at a document's cumulative share of the target gives the
-time at which the document is trained on. Documents are then range-sorted by that position.
+time at which the document is trained on. Each of its passes has its own share, one source size further on, and so its own
+time. Documents are then range-sorted by their first position, or their passes each by its own (``training_order``).
 
 Cumulative sums are taken in two levels (source and a hash bucket, then inside the bucket), so a source that holds a third of
 all rows is spread over ``16 ** bucket_digits`` groups and no group grows to the size of its source.
@@ -54,10 +55,9 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, slopes:
     return s.select("source", "source_size", "weight", "slope", "target")
 
 
-def curriculum(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, slopes: tuple[float, ...] = SLOPES, max_repeats: int = MAX_REPEATS, bucket_digits: int = BUCKET_DIGITS) -> DataFrame:
-    """Documents with size, source_size, target, taken (words, repeats counted), passes and position (of the first pass,
-    null if none), range-sorted by position. ``docs`` needs doc_id, source and text; the text is read, not carried along."""
-    keep = [c for c in docs.columns if c not in (*OUTPUTS, "text")]
+def _placed(docs: DataFrame, weights: tuple[int, ...], slopes: tuple[float, ...], max_repeats: int, bucket_digits: int) -> DataFrame:
+    """Documents with OUTPUTS and positions, in no order."""
+    keep = [c for c in docs.columns if c not in (*OUTPUTS, "positions", "text")]
     h = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     d = docs.select(*keep, word_count(F.col("text")).alias("size"), h.alias("_h")).withColumn("_b", F.substring("_h", 1, bucket_digits))
     d = d.repartition("source", "_b")  # one exchange serves the bucket sums and the sums inside buckets
@@ -75,18 +75,41 @@ def curriculum(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, slopes: tupl
     d = d.withColumn("_start", start).withColumn("_whole", whole)
     more = (F.col("size") > 0) & (2 * F.col("_start") + F.col("size") <= 2 * rest)
     d = d.withColumn("passes", F.when(F.col("size") > 0, F.col("_whole") + more.cast("bigint")).otherwise(0).cast("bigint"))
-    share = F.least(F.lit(1.0), (F.col("_start") + F.col("size") / 2) / F.greatest(F.col("target"), F.lit(1e-9)))
     a = F.col("slope")
-    inverse = F.when(F.abs(a) < 1e-9, share).otherwise((F.sqrt((1 - a) * (1 - a) + 4 * a * share) - (1 - a)) / F.when(F.abs(a) < 1e-9, 1.0).otherwise(2 * a))
-    d = d.withColumn("position", F.when(F.col("passes") > 0, inverse))
+
+    def position(n: Column) -> Column:
+        """When a document's n-th pass comes: F inverted at the share of the target that the source has used up by then."""
+        share = F.least(F.lit(1.0), ((n - 1) * F.col("source_size") + F.col("_start") + F.col("size") / 2) / F.greatest(F.col("target"), F.lit(1e-9)))
+        return F.when(F.abs(a) < 1e-9, share).otherwise((F.sqrt((1 - a) * (1 - a) + 4 * a * share) - (1 - a)) / F.when(F.abs(a) < 1e-9, 1.0).otherwise(2 * a))
+
+    numbers = F.when(F.col("passes") > 0, F.sequence(F.lit(1).cast("bigint"), F.col("passes"))).otherwise(F.array().cast("array<bigint>"))
+    d = d.withColumn("positions", F.transform(numbers, position)).withColumn("position", F.get("positions", F.lit(0)))
     d = d.withColumn("taken", F.col("passes") * F.col("size"))
-    return d.select(*keep, *OUTPUTS).orderBy(F.col("position").asc_nulls_last(), "doc_id")
+    return d.select(*keep, *OUTPUTS, "positions")
+
+
+def curriculum(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, slopes: tuple[float, ...] = SLOPES, max_repeats: int = MAX_REPEATS, bucket_digits: int = BUCKET_DIGITS) -> DataFrame:
+    """Documents with size, source_size, target, taken (words, repeats counted), passes, position (of the first pass, null if
+    none) and positions (of each pass), range-sorted by position. ``docs`` needs doc_id, source and text; the text is read, not carried along."""
+    return _placed(docs, weights, slopes, max_repeats, bucket_digits).orderBy(F.col("position").asc_nulls_last(), "doc_id")
+
+
+def training_order(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, slopes: tuple[float, ...] = SLOPES, max_repeats: int = MAX_REPEATS, bucket_digits: int = BUCKET_DIGITS) -> DataFrame:
+    """The schedule itself: one row for each pass of each document that is taken, with size, pass and position, range-sorted by position."""
+    d = _placed(docs, weights, slopes, max_repeats, bucket_digits)
+    keep = [c for c in d.columns if c not in (*OUTPUTS, "positions", "pass")]
+    d = d.select(*keep, "size", F.posexplode("positions").alias("_n", "position"))
+    return d.select(*keep, "size", (F.col("_n") + 1).cast("bigint").alias("pass"), "position").orderBy("position", "doc_id", "pass")
 
 
 def op9_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curriculum(table(spark, sf_dir, "documents")).select("doc_id", *OUTPUTS)
 
 
+def op9_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return training_order(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select("doc_id", "size", "pass", "position")
+
+
 #: A FROM clause's documents, weighed and mixed; also the last stage of the pipeline.
 MIX_SQL = r"""
 d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '')) AS h FROM {documents}),

@@ -14,6 +14,7 @@ QUERIES = {
     "op7_near_duplicates": near_dup.op7_near_duplicates,
     "op8_quality_classifier": quality_model.op8_quality_classifier,
     "op9_curriculum_mix": mixing.op9_curriculum_mix,
+    "op9_training_order": mixing.op9_training_order,
     "op10_toxicity": toxicity.op10_toxicity,
 }
 

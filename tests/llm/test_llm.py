@@ -184,6 +184,28 @@ def test_gapped_insults_score_as_plain_ones(spark):
     assert [r.predicted for r in got] == [0, 1, 1, 1]
 
 
+def test_training_order_has_every_pass(spark):
+    """All words taken have a position, and by any time a source has given the share of its target that the schedule demands."""
+    rng = random.Random(9)
+    sizes = {"a": 120, "b": 120, "c": 20, "d": 60}
+    docs = [(f"{s}{i}", s, " ".join("w" * rng.randint(1, 30))) for s, n in sizes.items() for i in range(n)] + [("none", "a", None)]
+    d = spark.createDataFrame(docs, "doc_id string, source string, text string")
+    mix = {r.doc_id: r for r in mixing.curriculum(d).collect()}
+    order = mixing.training_order(d).collect()
+    assert [r.position for r in order] == sorted(r.position for r in order)
+    assert Counter(r.doc_id for r in order) == Counter({k: r.passes for k, r in mix.items() if r.passes}) and max(r.passes for r in mix.values()) > 1
+    for k, r in mix.items():
+        assert r.positions == sorted(x.position for x in order if x.doc_id == k) and r.position == (r.positions or [None])[0]
+    for i, s in enumerate(sizes):
+        slope, target = mixing.SLOPES[i % 3], next(r.target for r in mix.values() if r.source == s)
+        given = 0
+        for r in (r for r in order if r.source == s):
+            due = target * (r.position + slope * (r.position**2 - r.position))
+            assert abs(given + r.size / 2 - due) < 1e-6 * target
+            given += r.size
+        assert given == sum(r.taken for r in mix.values() if r.source == s)
+
+
 def test_odd_inputs(spark):
     odd, none = spark.createDataFrame(ODD, SCHEMA), spark.createDataFrame([], SCHEMA)
     labels = spark.createDataFrame([(2, None, None)], "doc_id long, quality int, toxic int")
