@@ -6,8 +6,9 @@ length. The score is the logistic function of a sparse dot product. The model is
 ``max_rows`` labelled documents, drawn by a hash of the id, and has a fixed size; scoring reads every whole text.
 
 Edge cases: null and empty texts get the bias' score; without labelled rows all scores are 0.5; null labels and ids of no
-document teach nothing; repeated rows are scored alike; an empty table gives an empty result; other columns are kept by
-``score_quality`` unless they clash with score and predicted, which are replaced.
+document teach nothing; repeated rows are scored alike; of rows that share an id the least text teaches; an empty table gives an empty result;
+other columns are kept by ``score_quality`` unless they clash with score and predicted, which are replaced; texts may be of any
+length.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_map, fixed_sample, ship, split_remainder, table
+from .common import arrow_map, labelled_sample, ship, split_remainder, table
 
 BITS = 18
 MAX_ROWS = 6_000
@@ -89,9 +90,7 @@ def fit(rows: list[tuple[str | None, int]]) -> np.ndarray:
 
 def train(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "quality", max_rows: int = MAX_ROWS) -> np.ndarray:
     """The model, fitted on at most ``max_rows`` labelled rows where ``learn`` (a column of doc_id) holds."""
-    sample = fixed_sample(labels.filter(learn & F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias("label")).distinct(), F.col("doc_id"), max_rows)
-    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").limit(2 * max_rows)  # the sample has max_rows rows at most
-    ordered = texts.repartition(1).sortWithinPartitions("doc_id", "text")
+    ordered = labelled_sample(docs, labels, learn, label, max_rows)
     schema = T.StructType([T.StructField("model", T.BinaryType())])
 
     def run(batches):
@@ -108,7 +107,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "quali
 
 def score_quality(docs: DataFrame, model: np.ndarray, cut: float = CUT) -> DataFrame:
     """``docs`` with score and predicted."""
-    docs = docs.drop("score", "predicted")
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in ("score", "predicted")])
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def rows(c: dict[str, list]) -> dict[str, list]:

@@ -5,14 +5,16 @@ weighs GAP ** (s - 3), up to SPAN letters. So ``idiot``, ``idxiot``, ``i.d.i.o.t
 are near each other. A text falls into words; marks inside a word are dropped, digits and signs that stand for letters are
 read as letters, and runs of single letters count as one word. Longer words are cut into overlapping pieces of WIDTH letters.
 
-Training on a bounded sample of labelled documents (``max_rows``, drawn by a hash of the id), in one task:
-words of toxic documents that clean ones lack, beyond chance, label the word examples; landmarks are drawn from both classes;
-Nystroem features feed a squared-hinge SVM, with rounds of hard clean words added. The landmark expansion collapses into one
-weight per letter triple, so scoring a word is a sum of table look-ups with the same result. A document's three highest word
-margins go through a logistic function fitted on the sample's documents.
+The kernel of two texts follows from that of their words: a text's likeness to a landmark word is that of its nearest word, to the
+power POWER, so that a long text of ordinary words stays far from an insult. Landmarks are LANDMARKS words, half of them
+drawn from words that stand in toxic texts more often than chance allows, half from words of clean ones; texts that are copies of
+others have no say in that. The Nystroem map of the landmarks turns a text into a vector, and a squared-hinge SVM is trained on
+the labelled texts' vectors and labels (``max_rows`` texts at most, drawn by a hash of the id), in one task. Its margin goes
+through a logistic function fitted on the same texts. Letters outside a to z (other scripts) are hashed into the same triples.
 
 Edge cases: null and empty texts have no words and get the score of such texts; without both labels all scores are 0;
-null labels teach nothing; repeated rows are scored alike; an empty table gives an empty result; other columns are ignored.
+null labels teach nothing; of rows that share an id the least text teaches; repeated rows are scored alike; an empty table gives
+an empty result; other columns are ignored, whatever their names; texts may be of any length.
 """
 
 from __future__ import annotations
@@ -20,8 +22,8 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import Counter
-from heapq import nlargest
 from math import comb, log
+from typing import NamedTuple
 from zlib import crc32
 
 import numpy as np
@@ -29,12 +31,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_map, fixed_sample, ship, split_remainder, table
+from .common import arrow_map, labelled_sample, ship, split_remainder, table
 
 MAX_ROWS = 6_000
 CUT = 0.3
 WIDTH, SPAN, GAP = 16, 6, 0.6
-LANDMARKS, NEGATIVES, ROUNDS, COST = 384, 6_000, 3, 4.0
+LANDMARKS, POWER, RIDGE = 128, 4, 1.0
+#: Words whose likeness to the landmarks a worker keeps at a time (2 bytes a landmark).
+KEPT = 200_000
 LEET = str.maketrans("013457@$!|+", "oieastasiit")
 #: Letters spelled out. An underscore is a mark between letters only, so each text has one reading and lines of marks cost no backtracking.
 SINGLES = re.compile(r"(?<![^\W_])(?:[^\W_][\s.\-_*]{1,3}){3,}[^\W_](?![^\W_])")
@@ -81,11 +85,11 @@ def tokens_of(text: str | None) -> set[str]:
 
 
 def codes(words: list[str]) -> np.ndarray:
-    """Letters as 1..31, one word of at most WIDTH letters a row."""
+    """Letters as numbers from 1, one word of at most WIDTH letters a row: a to z as 1 to 26, others by 15 bits of a hash."""
     raw = np.zeros((len(words), WIDTH), np.uint32)
     if words:
         flat = np.array([w.ljust(WIDTH, "\0") for w in words], dtype=f"<U{WIDTH}").view(np.uint32).reshape(len(words), WIDTH)
-        raw = np.where(flat == 0, 0, np.where((flat >= 97) & (flat <= 122), flat - 96, 27 + flat % 5))
+        raw = np.where(flat == 0, 0, np.where((flat >= 97) & (flat <= 122), flat - 96, 1 + ((flat * np.uint32(0x9E3779B1)) >> np.uint32(17)) % 0x7FFE))
     return raw.astype(np.int32)
 
 
@@ -102,12 +106,12 @@ def kernel_sums(c: np.ndarray, weights: np.ndarray) -> np.ndarray:
         m = have[j + 2] if j + 2 <= WIDTH else 0
         if not m:
             continue
-        pair = (c[i, :m] << 10) + (c[j, :m] << 5)
+        pair = ((c[i, :m] << 10) ^ (c[j, :m] << 5)) & 0x7FFF
         for k in range(j + 1, min(WIDTH, i + SPAN)):
             m = have[k + 1]
             if not m:
                 break
-            got[:m] += np.float32(GAP ** (k - i - 2)) * weights[pair[:m] + c[k, :m]]
+            got[:m] += np.float32(GAP ** (k - i - 2)) * weights[pair[:m] ^ c[k, :m]]
     got /= NORM[n].reshape(-1, *[1] * (out.ndim - 1))
     out[order] = got
     return out
@@ -121,7 +125,7 @@ def feature_rows(words: list[str]) -> np.ndarray:
         n = int((row > 0).sum())
         for i, j, k, w in TRIPLES:
             if k < n:
-                out[r, (row[i] << 10) + (row[j] << 5) + row[k]] += w
+                out[r, ((row[i] << 10) ^ (row[j] << 5) ^ row[k]) & 0x7FFF] += w
         out[r] /= NORM[n]
     return out
 
@@ -158,137 +162,141 @@ def pair_minima(text: str | None) -> list[tuple[int, int]]:
     return [(i, int((pairs * np.uint64(m)).min())) for i, m in enumerate((0x9FB21C651E98DF25, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB))] if len(pairs) else []
 
 
-def fit(rows: list[tuple[str | None, int]]) -> tuple[np.ndarray, float, np.ndarray] | None:
-    """(weight per letter triple, bias, document logistic) from (text, label) rows."""
-    docs = [(tokens_of(text), int(y)) for text, y in rows]
-    tox, cln = Counter(), Counter()
-    cut: dict[str, list[str]] = {}
+class Likeness:
+    """How near words are to the landmarks; keeps what it has worked out for KEPT words, and forgets all when that is full."""
+
+    def __init__(self, landmarks: list[str], kept: int = KEPT):
+        self.features = np.ascontiguousarray(feature_rows(landmarks).T)  # triple -> landmarks
+        self.rows, self.place, self.kept = np.zeros((1024, len(landmarks)), np.float16), {}, kept
+
+    def learn(self, tokens: list[str]) -> None:
+        new = [t for t in tokens if t not in self.place]
+        if len(self.place) + len(new) > self.kept:
+            self.place.clear()
+            new = tokens
+        cut = [[p for p in pieces(letters(t)) if len(p) >= 3] for t in new]
+        words = sorted({p for c in cut for p in c})
+        at = {p: i for i, p in enumerate(words)}
+        near = np.zeros((len(words) + 1, self.rows.shape[1]), np.float16)  # the last row is that of no word
+        for a in range(0, len(words), 4096):
+            near[a : min(a + 4096, len(words))] = kernel_sums(codes(words[a : a + 4096]), self.features) ** POWER
+        start = len(self.place)
+        while len(self.rows) < start + len(new):
+            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+        for i, (t, c) in enumerate(zip(new, cut, strict=True)):
+            self.place[t] = start + i
+            self.rows[start + i] = near[at[c[0]]] if len(c) == 1 else near[[at[p] for p in c]].max(0) if c else near[-1]
+
+    def vectors(self, texts: list[set[str]]) -> np.ndarray:
+        """A row for each text, given by its words: its likeness to each landmark."""
+        out = np.zeros((len(texts), self.rows.shape[1]), np.float32)
+        step = self.kept // 4
+        for first in range(0, len(texts), 128):
+            part = [sorted(t) for t in texts[first : first + 128]]
+            every = sorted(set().union(*part))
+            for a in range(0, len(every), step):  # one turn, unless the texts are very long
+                own = every[a : a + step]
+                self.learn(own)
+                inside = part if len(every) <= step else [[t for t in p if own[0] <= t <= own[-1]] for p in part]
+                for i, tokens in enumerate(inside):
+                    if tokens:
+                        np.maximum(out[first + i], self.rows[[self.place[t] for t in tokens]].max(0), out=out[first + i])
+        return out
+
+
+class Model(NamedTuple):
+    landmarks: list[str]
+    weights: np.ndarray  # of the landmarks' likeness, and the bias
+    slope: float
+    offset: float
+
+    def scores(self, vectors: np.ndarray) -> np.ndarray:
+        margin = vectors @ self.weights[:-1] + self.weights[-1]
+        return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.offset, -35, 35)))
+
+
+def landmarks_of(texts: list[set[str]], rows: list[tuple[str | None, int]], count: int = LANDMARKS) -> list[str]:
+    """Words to compare with: half tied to toxic texts, half of clean ones. None if no word is tied to toxic ones."""
+    toxic, clean = Counter(), Counter()
     seen: set[tuple[int, int]] = set()
-    for (tokens, y), (text, _) in zip(docs, rows, strict=True):
+    cut: dict[str, list[str]] = {}
+    for tokens, (text, label) in zip(texts, rows, strict=True):
         marks = set(pair_minima(text))
         if len(marks & seen) >= 2:
-            continue  # a copy, near or exact, of an earlier document: its words are no new evidence
+            continue  # a copy, near or exact, of an earlier text: its words are no new evidence
         seen |= marks
         for t in tokens:
             if t not in cut:
                 cut[t] = [p for p in pieces(letters(t)) if len(p) >= 3]
-        (tox if y else cln).update({p for t in tokens for p in cut[t]})
-    n_tox = sum(y for _, y in docs)
-    if not n_tox or n_tox == len(docs):
+        (toxic if label else clean).update({p for t in tokens for p in cut[t]})
+    share = sum(int(y) for _, y in rows) / len(rows)
+    tied = sorted((w for w in toxic if beyond_chance(toxic[w], clean[w], share)), key=lambda w: (-toxic[w], w))[: count // 2]
+    ordinary = sorted(set(clean) - set(tied))
+    np.random.default_rng(11).shuffle(ordinary)
+    return tied + ordinary[: count // 2] if tied else []
+
+
+def fit(rows: list[tuple[str | None, int]]) -> Model | None:
+    """The model from (text, label) rows."""
+    y = np.array([int(v) for _, v in rows])
+    if not 0 < y.sum() < len(y):
         return None
-    share = n_tox / len(docs)
-    positive = sorted((w for w in tox if beyond_chance(tox[w], cln[w], share)), key=lambda w: (-tox[w], w))
-    rng = np.random.default_rng(11)
-    clean = sorted(cln)
-    if not positive or not clean:
+    texts = [tokens_of(text) for text, _ in rows]
+    marks = landmarks_of(texts, rows)
+    if not marks:
         return None
-    rng.shuffle(clean)
-    positive = positive[:2000]
-    marks = positive[: LANDMARKS // 2] + clean[: LANDMARKS - min(len(positive), LANDMARKS // 2)]
-    phi = feature_rows(marks)
-    values, vectors = np.linalg.eigh(phi @ phi.T)
-    keep = values > 1e-4 * values[-1]
-    root = (vectors[:, keep] / np.sqrt(values[keep])).astype(np.float32)
-    basis = np.ascontiguousarray((root.T @ phi).T)  # triple -> Nystroem features
-    negative = clean[:NEGATIVES]
-    all_clean = codes(clean)
-    for r in range(ROUNDS):
-        words = positive + negative
-        z = np.concatenate([kernel_sums(codes(words[a : a + 2000]), basis) for a in range(0, len(words), 2000)])
-        z = np.hstack([z, np.ones((len(z), 1))]).astype(float)
-        y = np.r_[np.ones(len(positive)), -np.ones(len(negative))]
-        cost = np.r_[[COST * tox[v] / share for v in positive], [float(cln[v]) for v in negative]] ** 0.5
-        w = squared_hinge(z, y, cost)
-        table_, bias = (basis @ w[:-1]).astype(np.float32), float(w[-1])
-        if r < ROUNDS - 1:
-            margin = kernel_sums(all_clean, table_) + bias
-            hard = np.argsort(-margin)[: NEGATIVES // 2]
-            negative = sorted({*negative, *(clean[i] for i in hard)} - set(positive))
-    margins = Margins(table_, bias)
-    margins.learn(set().union(*(tokens for tokens, _ in docs)))
-    tops = np.array([margins.tops(tokens) for tokens, _ in docs])
-    y = np.array([v for _, v in docs], float)
-    x, b = np.hstack([tops, np.ones((len(tops), 1))]), np.zeros(4)
+    z = Likeness(marks).vectors(texts)
+    own = feature_rows(marks)
+    values, parts = np.linalg.eigh((own @ own.T).astype(float) ** POWER)
+    keep = values > 1e-3 * values[-1]
+    root = parts[:, keep] / np.sqrt(values[keep])  # the Nystroem map
+    x = np.hstack([z @ root, np.ones((len(z), 1))])
+    w = squared_hinge(x, 2.0 * y - 1, np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())), RIDGE)
+    margin = np.column_stack([x @ w, np.ones(len(x))])
+    b = np.zeros(2)
     for _ in range(50):  # Newton steps of ridge logistic regression
-        p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(4), x.T @ (y - p) - 1e-2 * b)
+        p = 1 / (1 + np.exp(-np.clip(margin @ b, -30, 30)))
+        step = np.linalg.solve((margin * (p * (1 - p))[:, None]).T @ margin + 1e-2 * np.eye(2), margin.T @ (y - p) - 1e-2 * b)
         b = b + step
         if np.abs(step).max() < 1e-8:
             break
-    return table_, bias, b
-
-
-def logistic(tops: list[float], b: np.ndarray) -> float:
-    return 1.0 / (1.0 + float(np.exp(-max(-35.0, min(35.0, tops[0] * b[0] + tops[1] * b[1] + tops[2] * b[2] + b[3])))))
+    return Model(marks, np.append(root @ w[:-1], w[-1]), float(b[0]), float(b[1]))
 
 
 def train(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic", max_rows: int = MAX_ROWS):
     """The model, fitted on at most ``max_rows`` labelled rows where ``learn`` (a column of doc_id) holds; None: no model."""
     import pickle
 
-    sample = fixed_sample(labels.filter(learn & F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias("label")).distinct(), F.col("doc_id"), max_rows)
-    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").limit(2 * max_rows)  # the sample has max_rows rows at most
-    ordered = texts.repartition(1).sortWithinPartitions("doc_id", "text")
+    ordered = labelled_sample(docs, labels, learn, label, max_rows)
 
     def run(batches):
         import pyarrow as pa
 
         rows = [r for b in batches for r in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps(fit(rows) if rows else None)], pa.binary())})
+        model = fit(rows) if rows else None
+        yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps(model and tuple(model))], pa.binary())})
 
     ship(docs.sparkSession)
     found = ordered.mapInArrow(run, T.StructType([T.StructField("model", T.BinaryType())])).collect()  # one row of fixed size
-    return pickle.loads(found[0][0]) if found else None
-
-
-class Margins(dict):
-    """Raw word -> margin of its best piece; forgets all when it has grown large."""
-
-    def __init__(self, table_: np.ndarray, bias: float):
-        super().__init__()
-        self.table_, self.bias = table_, bias
-
-    def learn(self, tokens: set[str]) -> None:
-        new = [t for t in tokens if t not in self]
-        if len(self) + len(new) > 600_000:
-            self.clear()
-            new = list(tokens)
-        for a in range(0, len(new), 20_000):
-            part = new[a : a + 20_000]
-            cut = [(t, p) for t in part for p in pieces(letters(t)) if len(p) >= 3]
-            self.update(dict.fromkeys(part, -2.0))
-            for (t, _), m in zip(cut, (kernel_sums(codes([p for _, p in cut]), self.table_) + self.bias).tolist(), strict=True):
-                if m > self[t]:
-                    self[t] = m
-
-
-    def tops(self, tokens: set[str]) -> list[float]:
-        """The three highest margins of different words."""
-        high = [(v, t) for t in tokens if (v := self[t]) > -0.5]
-        if len(high) < 6:
-            high = nlargest(12, ((self[t], t) for t in tokens))
-        best: dict[str, float] = {}
-        for v, t in sorted(high, reverse=True):
-            best.setdefault(letters(t), v)
-        return [*best.values(), -2.0, -2.0, -2.0][:3]
-
-
-def score_toxicity(docs: DataFrame, model, cut: float = CUT) -> DataFrame:
+    model = pickle.loads(found[0][0]) if found else None
+    return model and Model(*model)
+
+
+def score_toxicity(docs: DataFrame, model: Model | None, cut: float = CUT) -> DataFrame:
     """doc_id, score and predicted for each row of ``docs(doc_id, text)``."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    memo: dict[str, Margins] = {}
+    sent = docs.sparkSession.sparkContext.broadcast(model and tuple(model))  # LANDMARKS words and as many numbers
+    memo: dict[str, Likeness] = {}
 
     def rows(c: dict[str, list]) -> dict[str, list]:
-        if sent.value is None:
-            scores = [0.0] * len(c["text"])
-        else:
-            table_, bias, b = sent.value
-            m = memo.setdefault("m", Margins(table_, bias))
+        scores = [0.0] * len(c["text"])
+        if sent.value is not None:
+            m = Model(*sent.value)
+            if not memo:
+                memo["m"] = Likeness(m.landmarks)
+            near = memo["m"]
             scores = []
-            for at in range(0, len(c["text"]), 256):
-                own = [tokens_of(t) for t in c["text"][at : at + 256]]
-                m.learn(set().union(*own))
-                scores += [logistic(m.tops(tokens), b) for tokens in own]
+            for at in range(0, len(c["text"]), 128):
+                scores += m.scores(near.vectors([tokens_of(t) for t in c["text"][at : at + 128]])).tolist()
         return {"doc_id": c["doc_id"], "score": scores, "predicted": [int(s >= cut) for s in scores]}
 
     schema = T.StructType([docs.schema["doc_id"], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
