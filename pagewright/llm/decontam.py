@@ -5,11 +5,14 @@ words says how far the scan may jump: a block that ends no pattern is skipped pa
 looked at. A block with shift 0 picks its bucket of patterns by the block's hash, and words are compared directly. Words found
 inside any occurrence are hit; each occurrence names the items its window comes from.
 
-The patterns are broadcast in blocks of at most ``block_words`` pattern words; a larger benchmark takes more passes over a
-batch, one for each block, with each block's size bounded.
-
-Edge cases: null texts and items have no words; items without words have no window; repeated rows, items and windows are all
-kept; an empty benchmark leaves all documents clean; other columns are ignored. Item ids are compared as strings.
+The patterns are read and broadcast in blocks of about ``block_words`` pattern words (by a hash of the item), which bounds what
+the driver and each worker hold. A benchmark of one block, the usual case, takes one pass over the documents. A larger one takes
+a pass for each block; between passes the hits so far travel with the documents through the shared folder.
+
+Edge cases: null texts and items have no words; items without words have no window; an item with a null id is searched for and
+its occurrences are hit, but it names no item; repeated rows, items and windows are all kept; an empty benchmark leaves all
+documents clean; an empty table gives an empty result; other columns are ignored, or kept if asked for, whatever their names;
+texts may be of any length. Item ids are compared as strings.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_map, table
+from .common import arrow_map, spare, staged, table
 
 WINDOW = 10
 BLOCK_WORDS = 2_000_000
@@ -83,18 +86,14 @@ def build(items: list[tuple[str, str | None]], window: int = WINDOW) -> list[Shi
     return [ShiftTable(dict(p)) for _, p in sorted(by.items())]
 
 
-def pattern_blocks(benchmark: DataFrame, block_words: int, window: int = WINDOW) -> list[list[tuple[str, str | None]]]:
-    """The items in blocks of at most about ``block_words`` pattern words, read one after another."""
-    out: list[list] = [[]]
-    room = block_words
-    for row in benchmark.select(F.col("item_id").cast("string"), "text").filter(F.col("item_id").isNotNull()).toLocalIterator():
-        need = len(words_of(row[1])) * window
-        if need > room and out[-1]:
-            out.append([])
-            room = block_words
-        out[-1].append((row[0], row[1]))
-        room -= need
-    return out
+def pattern_blocks(benchmark: DataFrame, block_words: int, window: int = WINDOW):
+    """The items in blocks of about ``block_words`` pattern words (at six bytes a word), read one after another."""
+    items = benchmark.select(F.col("item_id").cast("string").alias("item"), "text")
+    letters = items.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0
+    count = max(1, -(-letters * window // (6 * block_words)))
+    of = F.pmod(F.xxhash64("item", "text"), F.lit(count))
+    for i in range(count):
+        yield [(r[0], r[1]) for r in items.filter(of == i).collect()]  # one block
 
 
 def search(text: str | None, tables: list[ShiftTable]) -> tuple[list[bytes], list[bool], set[str]]:
@@ -105,6 +104,7 @@ def search(text: str | None, tables: list[ShiftTable]) -> tuple[list[bytes], lis
         for start, p in t.find(words):
             hit[start : start + t.length] = [True] * t.length
             items.update(t.patterns[p])
+    items.discard(None)
     return words, hit, items
 
 
@@ -113,36 +113,42 @@ SCHEMA = [("n_words", T.LongType()), ("n_hit", T.LongType()), ("n_items", T.Long
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, keep: list[str] | None = None) -> DataFrame:
     """doc_id (or the columns ``keep``) with n_words, n_hit, n_items, items_sha256 and contaminated, for each row of ``docs``."""
-    keep = keep or ["doc_id"]
-    sc = docs.sparkSession.sparkContext
-    sent = [sc.broadcast(b) for b in pattern_blocks(benchmark, block_words, window)]
-    built: dict[int, list[ShiftTable]] = {}
-
-    def tables(i: int) -> list[ShiftTable]:
-        if i not in built:
-            built.clear()  # one block of patterns at a time
-            built[i] = build(sent[i].value, window)
-        return built[i]
+    keep = [k for k in keep or ["doc_id"] if k.lower() not in [n for n, _ in SCHEMA]]
+    rest = [k for k in keep if k != "text"]
+    # the caller's columns travel in one struct, so that no name of theirs meets one of ours
+    d = docs.select(F.struct(F.lit(0).alias(spare("_", docs)), *[F.col(f"`{k}`") for k in rest]).alias("row"), "text", F.lit(None).cast("binary").alias("hits"), F.lit(None).cast("array<string>").alias("items"))
+    found = T.StructType([*d.schema.fields, *[T.StructField(n, t) for n, t in SCHEMA]])
+    first = True
+    for block in pattern_blocks(benchmark, block_words, window):
+        if not first:
+            d = staged(d.select("row", "text", "hits", "items"), "decontam-pass")  # one block of patterns in a worker at a time
+        d = arrow_map(d, _searcher(docs.sparkSession.sparkContext.broadcast(block), window), found)
+        first = False
+    return d.select(*[F.col("text") if k == "text" else F.col(f"row.`{k}`") for k in keep], *[n for n, _ in SCHEMA])
+
+
+def _searcher(sent, window: int):
+    """Rows of documents with the hits of one block of patterns added: ``hits`` holds 0 or 1 for each word, null if all are 0."""
+    built: list[list[ShiftTable]] = []
 
     def rows(c: dict[str, list]) -> dict[str, list]:
-        texts = c["text"]
-        n, hits, items = [0] * len(texts), [None] * len(texts), [set() for _ in texts]
-        for i in range(len(sent)):
-            found = tables(i)
-            for k, text in enumerate(texts):
-                words, hit, own = search(text, found)
-                n[k] = len(words)
-                items[k] |= own
-                hits[k] = hit if hits[k] is None or not any(hits[k]) else [a or b for a, b in zip(hits[k], hit, strict=True)]
-        return {k: c[k] for k in keep} | {
-            "n_words": n, "n_hit": [sum(h) for h in hits], "n_items": [len(x) for x in items],
-            "items_sha256": [hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in items], "contaminated": [any(h) for h in hits],
+        if not built:
+            built.append(build(sent.value, window))
+        n, hits, items = [], [], []
+        for text, before, names in zip(c["text"], c["hits"], c["items"], strict=True):
+            words, hit, found = search(text, built[0])
+            now = bytes(hit) if any(hit) else None
+            if before and now:
+                now = bytes(a | b for a, b in zip(before, now, strict=True))
+            n.append(len(words))
+            hits.append(now or before)
+            items.append(sorted(found.union(names or ())))
+        return c | {
+            "hits": hits, "items": items, "n_words": n, "n_hit": [sum(h or b"") for h in hits], "n_items": list(map(len, items)),
+            "items_sha256": [hashlib.sha256(",".join(x).encode()).hexdigest() for x in items], "contaminated": [h is not None for h in hits],
         }
 
-    own = [n for n, _ in SCHEMA]
-    keep = [k for k in keep if k not in own]
-    schema = T.StructType([docs.schema[k] for k in keep] + [T.StructField(n, t) for n, t in SCHEMA])
-    return arrow_map(docs.select(*dict.fromkeys([*keep, "text"])), rows, schema)
+    return rows
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,7 +158,7 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: {documents}: the table searched. Ends with h: doc_id, n_words, n_hit, n_items, items_sha256, contaminated for each row.
 HITS_SQL = r"""
 dw AS (SELECT row_number() OVER () AS rid, *, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS words FROM {documents}),
-bw AS (SELECT item_id::VARCHAR AS item, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE item_id IS NOT NULL),
+bw AS (SELECT item_id::VARCHAR AS item, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
 pats AS (SELECT DISTINCT item, least(10, len(w)) AS m, array_to_string(w[i : i + least(10, len(w)) - 1], ' ') AS p
          FROM (SELECT item, w, unnest(range(1, greatest(1, len(w) - 9) + 1)) AS i FROM bw WHERE len(w) > 0)),
 lens AS (SELECT DISTINCT m FROM pats),
