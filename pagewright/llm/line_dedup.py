@@ -5,21 +5,21 @@ hash gets a HyperLogLog sketch of its sites; sketches merge by aggregation. Wher
 line stays, far above it goes, and lines near the threshold get an exact distinct count. Boilerplate is removed from every
 document but the one with the smallest id that has it, so its content is not lost.
 
-Lines travel as 64-bit hashes; a line that a third of all documents share is pre-aggregated before each shuffle, and the joins
-back to documents hold such keys on the side that adaptive execution splits.
+Lines travel as 128-bit hashes (64 bits collide some ten thousand times among 1e12 lines); a line that a third of all documents
+share is pre-aggregated before each shuffle, and the joins back to documents hold such keys on the side that adaptive execution
+splits. All is done in DataFrame functions; texts are shuffled once, to meet the places of their boilerplate.
 
 Edge cases: a null text has no lines and stays null; a null site is a site of its own; a null id is never the keeper; repeated
 rows of a keeper both keep their lines; an empty table gives an empty result; blank and short lines always stay; other columns
-are kept as they are.
+are kept as they are, whatever their names, but for n_lines and n_removed, which are replaced; texts may be of any length.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import SPACED_WORD, arrow_map, staged, table
+from .common import SPACED_WORD, staged, table
 
 MIN_SITES = 5
 MIN_WORDS = 4
@@ -27,39 +27,33 @@ SKETCH_ERROR = 0.1
 
 
 def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
-    """h and keeper (least doc_id) of the lines in ``lines(h, site, doc_id)`` that stand on at least ``min_sites`` sites."""
-    spread = staged(lines.groupBy("h").agg(F.approx_count_distinct("site", SKETCH_ERROR).alias("est"), F.min("doc_id").alias("keeper")).filter(F.col("est") * 2 >= min_sites), "line-spread")
-    near = spread.filter(F.col("est") < 2 * min_sites).select("h")
-    exact = lines.join(near, "h", "left_semi").groupBy("h").agg(F.countDistinct("site").alias("sites")).filter(F.col("sites") >= min_sites)
-    sure = spread.filter(F.col("est") >= 2 * min_sites).select("h", "keeper")
-    return sure.unionByName(spread.join(exact.select("h"), "h", "left_semi").select("h", "keeper"))
+    """h, h2 and keeper (least doc_id) of the lines in ``lines(h, h2, site, doc_id)`` that stand on at least ``min_sites`` sites."""
+    key = ["h", "h2"]
+    spread = staged(lines.groupBy(*key).agg(F.approx_count_distinct("site", SKETCH_ERROR).alias("est"), F.min("doc_id").alias("keeper")).filter(F.col("est") * 2 >= min_sites), "line-spread")
+    near = spread.filter(F.col("est") < 2 * min_sites).select(*key)
+    exact = lines.join(near, key, "left_semi").groupBy(*key).agg(F.countDistinct("site").alias("sites")).filter(F.col("sites") >= min_sites)
+    sure = spread.filter(F.col("est") >= 2 * min_sites).select(*key, "keeper")
+    return sure.unionByName(spread.join(exact.select(*key), key, "left_semi").select(*key, "keeper"))
 
 
 def line_dedup(docs: DataFrame, min_sites: int = MIN_SITES, min_words: int = MIN_WORDS, site: str = "source") -> DataFrame:
     """``docs`` with boilerplate lines taken out of ``text``, and n_lines and n_removed added (they replace such columns)."""
-    docs = docs.drop("n_lines", "n_removed")
-    key = F.xxhash64(F.col("doc_id"), F.col("text"))
+    columns = [c for c in docs.columns if c.lower() not in ("n_lines", "n_removed")]
+    # the caller's columns travel in one struct, so that no name of theirs meets one of ours
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.col(site).cast("string").alias("site"))
+    own = own.withColumn("k", F.xxhash64("row.doc_id", "row.text")).withColumn("k2", F.xxhash64("row.text", "row.doc_id"))
     trimmed = F.btrim(F.col("line"), F.lit(" \t\x0b\f\r"))
-    lines = docs.select("doc_id", key.alias("k"), F.coalesce(F.col(site).cast("string"), F.lit("\x00")).alias("site"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    lines = lines.filter(F.regexp_count("line", F.lit(SPACED_WORD)) >= min_words).select("doc_id", "k", "pos", "site", F.xxhash64(trimmed).alias("h"))
-    lines = staged(lines, "lines")
+    lines = own.select(F.col("row.doc_id").alias("doc_id"), "k", "k2", F.coalesce("site", F.lit("\x00")).alias("site"), F.posexplode(F.split("row.text", "\n", -1)).alias("pos", "line"))
+    lines = lines.filter(F.regexp_count("line", F.lit(SPACED_WORD)) >= min_words)
+    lines = staged(lines.select("doc_id", "k", "k2", "pos", "site", F.xxhash64(trimmed).alias("h"), F.xxhash64(F.lit(1), trimmed).alias("h2")), "lines")
     found = boilerplate(lines, min_sites)
-    gone = lines.join(found, "h").filter(~F.col("doc_id").eqNullSafe(F.col("keeper"))).groupBy("k").agg(F.collect_set("pos").alias("gone")).withColumnRenamed("k", "_k")
-    marked = docs.withColumn("_key", key).join(gone.hint("shuffle_hash"), F.col("_key") == F.col("_k"), "left").drop("_k", "_key")
-
-    keep = [k for k in docs.columns if k != "text"]
-
-    def rows(c: dict[str, list]) -> dict[str, list]:
-        n, out = [], []
-        for text, pos in zip(c["text"], c["gone"], strict=True):
-            parts = [] if text is None else text.split("\n")
-            drop = set(pos or ())
-            n.append(len(parts))
-            out.append(text if not drop else "\n".join(x for i, x in enumerate(parts) if i not in drop))
-        return {k: c[k] for k in keep} | {"text": out, "n_lines": n, "n_removed": [len(set(p or ())) for p in c["gone"]]}
-
-    schema = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])
-    return arrow_map(marked, rows, schema)
+    gone = lines.join(found, ["h", "h2"]).filter(~F.col("doc_id").eqNullSafe(F.col("keeper"))).groupBy("k", "k2").agg(F.collect_set("pos").alias("gone"))
+    marked = own.join(gone, ["k", "k2"], "left")
+    parts = F.split("row.text", "\n", -1)
+    left = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), "gone"), lambda i: F.get(parts, i)), "\n"))
+    columns_out = [left.alias(c) if c == "text" else F.col(f"row.`{c}`") for c in columns]
+    n_lines = F.when(F.col("row.text").isNull(), 0).otherwise(F.size(parts)).cast("bigint").alias("n_lines")
+    return marked.select(*columns_out, n_lines, F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("bigint").alias("n_removed"))
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
