@@ -7,7 +7,9 @@ of their language, and then the one of the whole corpus. Thresholds are joined t
 partial aggregation, so a source with a third of all rows costs no task more than the others.
 
 Edge cases: null and empty texts have no words and fail the base rule; null languages and sources are groups of their own;
-repeated rows count and come back as often as they stand; an empty table gives an empty result; other columns are ignored.
+repeated rows count and come back as often as they stand; an empty table gives an empty result; other columns are ignored,
+whatever their names; ids, languages and sources may be of any type; texts may be of any length; a ratio equal to its threshold
+is kept.
 """
 
 from __future__ import annotations
@@ -27,10 +29,7 @@ MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
 FENCE, MIN_GROUP, ACCURACY = 4.0, 40, 10_000
 #: Ratio: (numerator, denominator, least distance over the upper quartile).
 RATIOS = {"symbols": ("n_symbols", "word_chars", 0.05), "duplicates": ("n_dup_lines", "n_words", 0.05), "repeats": ("n_repeat_words", "n_words", 0.10)}
-MEASURES = T.StructType(
-    [T.StructField("doc_id", T.LongType()), T.StructField("lang", T.StringType()), T.StructField("source", T.StringType())]
-    + [T.StructField(n, T.LongType()) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
-)
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 def repeated_words(words: list[bytes]) -> int:
@@ -62,11 +61,14 @@ def measure(text: str | None) -> tuple[int, int, int, int, int]:
 
 
 def measures(docs: DataFrame) -> DataFrame:
+    """doc_id, lang, source (of whatever types) and the MEASURES of each text."""
+
     def rows(c: dict[str, list]) -> dict[str, list]:
         got = [measure(t) for t in c["text"]]
-        return {k: c[k] for k in ("doc_id", "lang", "source")} | dict(zip(("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"), ([*x] for x in zip(*got, strict=True)), strict=True))
+        return {k: c[k] for k in ("doc_id", "lang", "source")} | dict(zip(MEASURES, ([*x] for x in zip(*got, strict=True)), strict=True))
 
-    return arrow_map(docs.select("doc_id", "lang", "source", "text"), rows, MEASURES)
+    own = docs.select("doc_id", "lang", "source", "text")
+    return arrow_map(own, rows, T.StructType([*own.schema.fields[:3], *[T.StructField(n, T.LongType()) for n in MEASURES]]))
 
 
 def thresholds(measured: DataFrame, min_group: int = MIN_GROUP, fence: float = FENCE) -> DataFrame:
