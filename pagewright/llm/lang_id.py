@@ -5,8 +5,12 @@ compared with each profile by out-of-place distance, and the nearest profile nam
 bounded sample of labelled documents: about ``per_lang`` of each language, drawn by a hash of the id; counting is distributed
 and merges by aggregation. Prediction reads every whole text.
 
+The profiles are the model: ``k`` numbers for each language that occurs, however many those are. The table of sample shares, one
+row a language, is broadcast if it has at most BROADCAST_LANGS rows, and joined by shuffle beyond.
+
 Edge cases: a null text, or one without a letter, gets ``und`` with score 0, as does every text when nothing could be learned;
-equal distances go to the language first in order; repeated rows are predicted alike; other columns are ignored.
+equal distances go to the language first in order; repeated rows are predicted alike; an empty table gives an empty result;
+other columns are ignored, whatever their names; texts may be of any length.
 """
 
 from __future__ import annotations
@@ -18,11 +22,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_map, split_remainder, table
+from .common import arrow_map, split_remainder, staged, table
 
 PROFILE = 300
 PER_LANG = 2_000
-MAX_LANGS = 8_000
+BROADCAST_LANGS = 100_000
 LETTER = re.compile(r"[^\W\d_]")
 NOT_LETTERS = re.compile(r"[\W\d_]+")
 
@@ -62,12 +66,13 @@ class Profile:
 
 
 def learn_profiles(docs: DataFrame, learn: Column, per_lang: int = PER_LANG, k: int = PROFILE) -> dict[str, list[int]]:
-    """Profiles of the languages among the rows where ``learn`` holds, as {lang: n-grams in order}. At most MAX_LANGS."""
-    labelled = docs.filter(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    share = labelled.groupBy("lang").agg((F.lit(float(per_lang)) / F.count(F.lit(1))).alias("_share")).withColumnRenamed("lang", "_l")
+    """Profiles of the languages among the rows where ``learn`` holds, as {lang: n-grams in order}."""
     unit = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    # one row a language, at most MAX_LANGS; else the texts would be dealt out by language
-    sample = labelled.join(F.broadcast(share.orderBy("_l").limit(MAX_LANGS)), F.col("lang") == F.col("_l")).filter(unit < F.col("_share"))
+    labelled = docs.filter(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", unit.alias("unit"))
+    share = staged(labelled.groupBy("lang").agg((F.lit(float(per_lang)) / F.count(F.lit(1))).alias("share")), "language-shares")
+    # broadcast, so that texts are not dealt out by language
+    few = share.limit(BROADCAST_LANGS + 1).count() <= BROADCAST_LANGS
+    sample = labelled.join(F.broadcast(share) if few else share, "lang").filter("unit < share")
 
     def rows(c: dict[str, list]) -> dict[str, list]:
         flat = [[], [], []]
@@ -86,7 +91,7 @@ def learn_profiles(docs: DataFrame, learn: Column, per_lang: int = PER_LANG, k:
     order = Window.partitionBy("lang").orderBy(F.col("n").desc(), "gram")
     top = counts.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k)
     found: dict[str, list[int]] = {}
-    for row in sorted(top.limit(MAX_LANGS * k).collect(), key=lambda x: (x["lang"], x["r"])):  # languages x profile length
+    for row in sorted(top.collect(), key=lambda x: (x["lang"], x["r"])):  # languages x profile length
         found.setdefault(row["lang"], []).append(row["gram"])
     return found
 
@@ -102,7 +107,7 @@ def predict(text: str | None, profiles: list[tuple[str, Profile]], k: int = PROF
 def language_id(docs: DataFrame, learn: Column, per_lang: int = PER_LANG, k: int = PROFILE) -> DataFrame:
     """doc_id, lang_pred and score for each row of ``docs(doc_id, text, lang)``; learns where ``learn`` holds."""
     profiles = learn_profiles(docs, learn, per_lang, k)
-    places = [(name, Profile(p)) for name, p in sorted(profiles.items())]  # at most MAX_LANGS x k n-grams
+    places = [(name, Profile(p)) for name, p in sorted(profiles.items())]  # the model
     sent = docs.sparkSession.sparkContext.broadcast(places)
 
     def rows(c: dict[str, list]) -> dict[str, list]:
