@@ -2,18 +2,23 @@
 
 Two permutations of the 32-bit circle make all signature coordinates: the first scatters the shingle hashes, the second, shifted
 by one place for each coordinate, orders them; a coordinate is the least place that any shingle gets. Coordinates in bands of
-ROWS make buckets. With 24 bands of 4, a pair at similarity 0.8 shares no bucket with probability 3e-6.
+ROWS make buckets. With 24 bands of 4, a pair at similarity 0.8 shares no bucket with probability 3e-6, and has an estimate
+below 0.5, which is not verified, with probability 1e-10.
 
 Documents with equal shingle sets are one node. In each bucket every node is compared with one hub, the node that shares most
 buckets with others; verified links are joined into components. Where a bucket still holds
 several components, all pairs across them are compared too; in large buckets one block of nodes meets another inside a task, which
 compares signatures and full sets and gives links only, each pair only in the first band that it shares, so that pairs that are
-not links never become rows. A comparison first looks at the signatures (an
-estimate under ``0.8 - SLACK`` is four standard errors off) and then counts the full shingle sets. Component labels spread by least label and pointer jumping over tables in the shared folder.
+not links never become rows. A comparison first looks at the signatures (an estimate under ``0.8 - SLACK`` is seven standard
+errors off) and then counts the full shingle sets. Component labels spread by least label and pointer jumping over tables in the
+shared folder.
+
+Shingles are of five words unless the caller says otherwise, as ``op7_near_duplicates`` does with four.
 
 Edge cases: null, empty and wordless texts have no shingles, component_id is their own id; texts shorter than a shingle are
 one shingle; rows that share an id count as one node; a null id is reachable but names no component; an empty table gives an
-empty result; other columns are kept by ``drop_near_duplicates`` and ignored by ``near_duplicates``.
+empty result; other columns are kept by ``drop_near_duplicates``, whatever their names, and ignored by ``near_duplicates``; a row
+goes only if a row of its component stays, so of rows that share an id each is judged by its own text; texts may be of any length.
 """
 
 from __future__ import annotations
@@ -29,7 +34,7 @@ from .common import arrow_map, staged, table
 SHINGLE = 5
 SIMILARITY = 80
 BANDS, ROWS = 24, 4
-SLACK = 0.17
+SLACK = 0.3
 #: Buckets of more nodes are compared in blocks of BLOCK nodes, inside tasks.
 SMALL, BLOCK = 24, 512
 #: As many shingles as a block has at most, on average (8 bytes each).
@@ -72,22 +77,28 @@ def signature(s: np.ndarray) -> np.ndarray:
     return out
 
 
+def _row_key(docs: DataFrame) -> DataFrame:
+    """docs(doc_id, text) with 128 bits that stand for the row."""
+    return docs.withColumn("k", F.xxhash64("doc_id", "text")).withColumn("k2", F.xxhash64("text", "doc_id"))
+
+
 def _signed(docs: DataFrame, size: int) -> DataFrame:
     def rows(c: dict[str, list]) -> dict[str, list]:
         sets = [shingles(t, size) for t in c["text"]]
         return {
-            "doc_id": c["doc_id"], "n_shingles": [len(s) for s in sets],
+            "doc_id": c["doc_id"], "k": c["k"], "k2": c["k2"], "n_shingles": [len(s) for s in sets],
             "set_key": [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets],
             "sig": [signature(s).tobytes() if len(s) else None for s in sets],
         }
 
-    schema = T.StructType([docs.schema["doc_id"], T.StructField("n_shingles", T.LongType()), T.StructField("set_key", T.BinaryType()), T.StructField("sig", T.BinaryType())])
-    return arrow_map(docs.select("doc_id", "text"), rows, schema)
+    own = _row_key(docs.select("doc_id", "text"))
+    schema = T.StructType([own.schema["doc_id"], own.schema["k"], own.schema["k2"], T.StructField("n_shingles", T.LongType()), T.StructField("set_key", T.BinaryType()), T.StructField("sig", T.BinaryType())])
+    return arrow_map(own, rows, schema)
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
     schema = T.StructType([T.StructField("node", docs.schema["doc_id"].dataType), T.StructField("set", T.BinaryType())])
-    texts = docs.select(F.col("doc_id").alias("node"), "text").join(nodes.hint("shuffle_hash"), "node", "left_semi")
+    texts = docs.select(F.col("doc_id").alias("node"), "text").join(nodes, "node", "left_semi")
     return arrow_map(texts, lambda c: {"node": c["node"], "set": [shingles(t, size).tobytes() for t in c["text"]]}, schema)
 
 
@@ -204,8 +215,8 @@ def components(links: DataFrame) -> DataFrame:
     return label.select("node", "label")
 
 
-def near_duplicates(docs: DataFrame, size: int = SHINGLE, similarity: int = SIMILARITY) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for each row of ``docs(doc_id, text)``; similarity in percent."""
+def _judged(docs: DataFrame, size: int, similarity: int) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept and the row's key for each row of ``docs(doc_id, text)``."""
     signed = staged(_signed(docs, size), "near-signed")
     classes = signed.filter("set_key IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("node"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles")).filter("node IS NOT NULL")
     reps = staged(classes, "near-classes")
@@ -216,10 +227,10 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, similarity: int = SIMI
     hubs = members.join(known, "node").groupBy("bucket").agg(F.max(F.struct("known", F.col("node").alias("hub"))).alias("h")).select("bucket", F.col("h.hub").alias("hub"))
     star = members.join(hubs, "bucket").filter("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
     least = similarity / 100 - SLACK
-    tested = staged(_near_signatures(star, reps, least - 0.1), "near-tested")
+    tested = staged(_near_signatures(star, reps, least), "near-tested")
     wanted = tested.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     sets = staged(_sets(docs, wanted, size), "near-sets")
-    links = staged(_verified(tested.filter(F.col("est") >= least), sets, similarity), "near-verified")
+    links = staged(_verified(tested, sets, similarity), "near-verified")
     label = components(links)
 
     # buckets that still hold several components: all pairs across them
@@ -240,15 +251,22 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, similarity: int = SIMI
         between = more.join(to("a"), "a", "left").join(to("b"), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).filter("a <> b")
         last = components(between).select(F.col("node").alias("label"), F.col("label").alias("last"))
         classes = classes.join(last, "label", "left").select("set_key", F.coalesce("last", "label").alias("label"))
-    out = signed.select("doc_id", "n_shingles", "set_key").join(classes, "set_key", "left")
-    out = out.select("doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("component_id"))
+    out = signed.select("doc_id", "n_shingles", "set_key", "k", "k2").join(classes, "set_key", "left")
+    out = out.select("doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("component_id"), "k", "k2")
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def near_duplicates(docs: DataFrame, size: int = SHINGLE, similarity: int = SIMILARITY) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept for each row of ``docs(doc_id, text)``; similarity in percent."""
+    return _judged(docs, size, similarity).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def drop_near_duplicates(docs: DataFrame, size: int = SHINGLE, similarity: int = SIMILARITY) -> DataFrame:
     """The rows of ``docs`` with one document left of each component."""
-    gone = near_duplicates(docs, size, similarity).filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    gone = _judged(docs, size, similarity).filter(~F.col("kept")).select("k", "k2").distinct()
+    # the caller's columns travel in one struct, so that no name of theirs meets one of ours
+    own = _row_key(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "text"))
+    return own.drop("doc_id", "text").join(gone, ["k", "k2"], "left_anti").select("row.*")
 
 
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
