@@ -8,11 +8,12 @@ time at which the document is trained on. Each of its passes has its own share,
 time. Documents are then range-sorted by their first position, or their passes each by its own (``training_order``).
 
 Cumulative sums are taken in two levels (source and a hash bucket, then inside the bucket), so a source that holds a third of
-all rows is spread over ``16 ** bucket_digits`` groups and no group grows to the size of its source.
+all rows is spread over ``16 ** bucket_digits`` groups and no group grows to the size of its source. Words are counted once and
+stored without the text. Sources are few (corpora, not hosts): their targets are worked out in one small task.
 
 Edge cases: a null or wordless text has size 0 and takes nothing; a null source is a source of its own, last in order;
 repeated rows are separate documents; an empty table gives an empty result; other columns are kept by ``curriculum`` unless
-their names clash with its outputs, in which case the output wins.
+their names clash with its outputs, in which case the output wins; texts may be of any length.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACED_WORD, table
+from .common import SPACED_WORD, staged, table
 
 WEIGHTS = (5, 2, 1)
 #: Schedule slopes, repeating over the sources in order: early sources fade, later ones grow.
@@ -57,18 +58,19 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, slopes:
 
 def _placed(docs: DataFrame, weights: tuple[int, ...], slopes: tuple[float, ...], max_repeats: int, bucket_digits: int) -> DataFrame:
     """Documents with OUTPUTS and positions, in no order."""
-    keep = [c for c in docs.columns if c not in (*OUTPUTS, "positions", "text")]
+    keep = [c for c in docs.columns if c.lower() not in (*OUTPUTS, "positions", "text")]
     h = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    d = docs.select(*keep, word_count(F.col("text")).alias("size"), h.alias("_h")).withColumn("_b", F.substring("_h", 1, bucket_digits))
-    d = d.repartition("source", "_b")  # one exchange serves the bucket sums and the sums inside buckets
-    buckets = d.groupBy("source", "_b").agg(F.sum("size").alias("_b_size"))
+    # the caller's columns travel in one struct, so that no name of theirs meets one of ours
+    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), word_count(F.col("text")).alias("size"), h.alias("_h"))
+    d = staged(d, "mix-sizes").withColumn("doc_id", F.col("row.doc_id")).withColumn("_source", F.col("row.source")).withColumn("_b", F.substring("_h", 1, bucket_digits))
+    buckets = d.groupBy(F.col("_source").alias("source"), "_b").agg(F.sum("size").alias("_b_size"))
     prefix = Window.partitionBy("source").orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = buckets.select(F.col("source").alias("_s"), F.col("_b").alias("_bb"), (F.sum("_b_size").over(prefix) - F.col("_b_size")).alias("_b_start"))
     targets = source_targets(buckets.groupBy("source").agg(F.sum("_b_size").alias("source_size")), weights, slopes, max_repeats)
     plan = before.join(targets, F.col("_s").eqNullSafe(F.col("source"))).drop("source")
-    inside = Window.partitionBy("source", "_b").orderBy("_h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = Window.partitionBy("_source", "_b").orderBy("_h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     d = d.withColumn("_in", F.sum("size").over(inside) - F.col("size"))
-    d = d.join(plan, d["source"].eqNullSafe(plan["_s"]) & (d["_b"] == plan["_bb"]))
+    d = d.join(plan, d["_source"].eqNullSafe(plan["_s"]) & (d["_b"] == plan["_bb"]))
     start = F.col("_b_start") + F.col("_in")
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("bigint")
     rest = F.col("target") - F.col("_whole") * F.col("source_size")
@@ -85,7 +87,7 @@ def _placed(docs: DataFrame, weights: tuple[int, ...], slopes: tuple[float, ...]
     numbers = F.when(F.col("passes") > 0, F.sequence(F.lit(1).cast("bigint"), F.col("passes"))).otherwise(F.array().cast("array<bigint>"))
     d = d.withColumn("positions", F.transform(numbers, position)).withColumn("position", F.get("positions", F.lit(0)))
     d = d.withColumn("taken", F.col("passes") * F.col("size"))
-    return d.select(*keep, *OUTPUTS, "positions")
+    return d.select(*[F.col(f"row.`{c}`") for c in keep], *OUTPUTS, "positions")
 
 
 def curriculum(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, slopes: tuple[float, ...] = SLOPES, max_repeats: int = MAX_REPEATS, bucket_digits: int = BUCKET_DIGITS) -> DataFrame:
@@ -97,9 +99,9 @@ def curriculum(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, slopes: tupl
 def training_order(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, slopes: tuple[float, ...] = SLOPES, max_repeats: int = MAX_REPEATS, bucket_digits: int = BUCKET_DIGITS) -> DataFrame:
     """The schedule itself: one row for each pass of each document that is taken, with size, pass and position, range-sorted by position."""
     d = _placed(docs, weights, slopes, max_repeats, bucket_digits)
-    keep = [c for c in d.columns if c not in (*OUTPUTS, "positions", "pass")]
-    d = d.select(*keep, "size", F.posexplode("positions").alias("_n", "position"))
-    return d.select(*keep, "size", (F.col("_n") + 1).cast("bigint").alias("pass"), "position").orderBy("position", "doc_id", "pass")
+    keep = [c for c in d.columns if c.lower() not in (*OUTPUTS, "positions", "pass")]
+    d = d.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), "size", F.posexplode("positions").alias("_n", "position"))
+    return d.select(*[F.col(f"row.`{c}`") for c in keep], "size", (F.col("_n") + 1).cast("bigint").alias("pass"), "position").orderBy("position", "doc_id", "pass")
 
 
 def op9_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
