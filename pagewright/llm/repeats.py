@@ -11,14 +11,20 @@ Texts are byte strings; matches never cross documents, and strings are judged on
    heads and ends of runs only. Streaming over the text, the match length of any other position is its last sample less the
    distance (inside a run both neighbours move along), which gives the matching statistics of every position against all
    others; positions with LENGTH or more are repeated.
-4. Anchors with more than HOT distinct contexts (a passage in a large part of all documents) are not put into one block: their
-   windows are counted by 64-bit hash with partial aggregation instead, so no key gathers rows.
-5. Marks go back from contexts to places, and the marked texts are cut.
+4. An anchor with more than HOT distinct contexts (a passage in a large part of all documents) would not fit into one block.
+   Its contexts are cut finer, into pieces of at most STEPS windows whose anchor stands about equally far in, and dealt out by
+   the bytes that all such windows share; equal windows still meet. Pieces are pre-aggregated like contexts and indexed as soon
+   as their key has no more than HOT, else cut again. A piece of one window is shared as a whole, so the last step ends it.
+5. Marks go back from pieces and contexts to places, and the marked texts are cut.
 
 Exact copies are found by digest first: all but short ones go as a whole, and one of them stands for all in steps 2 to 4.
+Contexts are cut out of the texts twice, once for the index and once for their places, which costs less than storing them.
+
+Memory of a task: a block has at most BLOCK bytes and one more anchor, that is 0.45 MB, and takes some 60 MB while it is
+indexed; texts are hashed in segments of SEGMENT bytes, however long they are.
 
 Edge cases: null texts are empty; texts under LENGTH bytes are kept; repeated rows are copies of each other; an empty table gives
-an empty result; other columns are ignored; a null id is an id like others.
+an empty result; other columns are ignored; a null id is an id like others; very long texts are read in segments.
 """
 
 from __future__ import annotations
@@ -31,13 +37,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_map, ship, staged, table
+from .common import arrow_map, discard, ship, staged, table
 
 LENGTH, GRAM = 200, 40
 SPAN = LENGTH - GRAM + 1
-#: As many contexts of one anchor as still make a block of bounded size (4096 x 359 bytes).
-HOT = 4096
-BLOCK = 1_000_000
+#: As many contexts as one key may bring into a block (512 x 359 bytes), and bytes after which a block is closed.
+HOT, BLOCK = 512, 262_144
+#: Windows of a piece, step by step; the last one must be 1.
+STEPS = (32, 8, 1)
+SEGMENT = 1 << 20
 
 _rng = np.random.default_rng(5)
 BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -75,28 +83,59 @@ def window_anchors(h: np.ndarray) -> np.ndarray:
     return np.minimum(m[: len(m) - (SPAN - width)], m[SPAN - width :]) if SPAN > width else m
 
 
+def segments(text: bytes):
+    """Offset and bytes of overlapping parts of a text, so that each window is in one of them."""
+    for at in range(0, len(text) - LENGTH + 1, SEGMENT):
+        yield at, text[at : at + SEGMENT + LENGTH - 1]
+
+
 def anchors(text: bytes) -> np.ndarray:
-    """The text's anchors as signed numbers; one that can repeat inside the text stands twice."""
-    if len(text) < LENGTH:
-        return np.zeros(0, np.int64)
-    h = gram_hashes(np.frombuffer(text, np.uint8))
-    own = np.unique(window_anchors(h))
-    at = np.minimum(np.searchsorted(own, h), len(own) - 1)
-    twice = np.bincount(at[own[at] == h], minlength=len(own)) > 1
-    return np.concatenate([own, own[twice]]).view(np.int64)
+    """The text's anchors as signed numbers; one that can repeat inside the text stands twice or more."""
+    out = [np.zeros(0, np.int64)]
+    for _, part in segments(text):
+        h = gram_hashes(np.frombuffer(part, np.uint8))
+        own = np.unique(window_anchors(h))
+        at = np.minimum(np.searchsorted(own, h), len(own) - 1)
+        twice = np.bincount(at[own[at] == h], minlength=len(own)) > 1
+        out += [own.view(np.int64), own[twice].view(np.int64)]
+    return np.concatenate(out)
 
 
 def contexts(text: bytes, wanted: list[int]) -> list[tuple[int, int, bytes]]:
-    """(anchor, offset, bytes) of the runs of windows with a wanted anchor, in pieces of at most SPAN windows."""
-    m = window_anchors(gram_hashes(np.frombuffer(text, np.uint8))).view(np.int64)
-    starts = np.flatnonzero(np.concatenate([[True], m[1:] != m[:-1]]))
-    ends = np.append(starts[1:], len(m))
-    use = np.isin(m[starts], np.array(wanted, np.int64))
-    return [(int(m[a]), i, text[i : min(i + SPAN, e) + LENGTH - 1]) for a, e in zip(starts[use].tolist(), ends[use].tolist(), strict=True) for i in range(a, e, SPAN)]
+    """(anchor, offset, bytes) of the runs of windows with a wanted anchor, in parts of at most SPAN windows."""
+    out, wanted = [], np.array(wanted, np.int64)
+    for base, part in segments(text):
+        m = window_anchors(gram_hashes(np.frombuffer(part, np.uint8))).view(np.int64)
+        starts = np.flatnonzero(np.concatenate([[True], m[1:] != m[:-1]]))
+        ends = np.append(starts[1:], len(m))
+        use = np.isin(m[starts], wanted)
+        for a, e in zip(starts[use].tolist(), ends[use].tolist(), strict=True):
+            out += [(int(m[a]), base + i, part[i : min(i + SPAN, e) + LENGTH - 1]) for i in range(a, e, SPAN)]
+    return out
+
+
+def pieces(context: bytes, step: int) -> list[tuple[int, int, bytes]]:
+    """(key, offset, bytes) of the runs of windows of a context whose first anchor stands as far in, counted in steps.
+
+    The key is made of the step's number and the bytes that all windows of that step share, so equal windows have equal keys.
+    """
+    h = gram_hashes(np.frombuffer(context, np.uint8))
+    windows = np.arange(len(context) - LENGTH + 1)
+    found = np.flatnonzero(h == h[: SPAN].min())  # a context has one anchor
+    place = found[np.searchsorted(found, windows)]
+    number = (place - windows) // step
+    starts = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (number[1:] != number[:-1])]))
+    out = []
+    for a, e in zip(starts.tolist(), [*starts[1:].tolist(), len(windows)], strict=True):
+        p, n = int(place[a]), int(number[a])
+        shared = context[p - n * step : p - (n + 1) * step + 1 + LENGTH]
+        out.append((xxhash.xxh3_64_intdigest(shared, seed=n) - (1 << 63), a, context[a : e + LENGTH - 1]))
+    return out
 
 
 def matching_statistics(texts: list[bytes]) -> list[np.ndarray]:
-    """For each position of each text, how long a string starts there that also starts at any other position of the texts.
+    """For each position of each text, how long a string starts there that also starts at any other position of the texts,
+    right for all lengths up to LENGTH (the suffixes are sorted by their first LENGTH bytes or more).
 
     Matches end with their texts: each is followed by a separator of its own.
     """
@@ -127,7 +166,7 @@ def matching_statistics(texts: list[bytes]) -> list[np.ndarray]:
         rank = np.empty(n, np.int64)
         rank[order] = new
         ranks.append((width, rank.astype(np.int32)))
-        if new[-1] == n - 1:
+        if new[-1] == n - 1 or width >= LENGTH:
             break
         key = (rank << 32) | (shifted(rank, width) + 1) * (np.arange(n) + width < n)
         width *= 2
@@ -169,6 +208,7 @@ def spans(repeated: np.ndarray) -> list[tuple[int, int]]:
 
 
 CONTEXT = T.StructType([T.StructField(n, t) for n, t in (("h", T.LongType()), ("digest", T.BinaryType()), ("at", T.IntegerType()), ("cid", T.BinaryType()), ("ctx", T.BinaryType()), ("copies", T.LongType()))])
+PIECE = T.StructType([T.StructField(n, t) for n, t in (("whole", T.BinaryType()), ("at", T.IntegerType()), ("h", T.LongType()), ("cid", T.BinaryType()), ("ctx", T.BinaryType()), ("copies", T.LongType()))])
 MARK = T.StructType([T.StructField("cid", T.BinaryType()), T.StructField("lo", T.IntegerType()), T.StructField("hi", T.IntegerType())])
 
 
@@ -198,32 +238,31 @@ def _indexed(batches):
         yield marks(block)
 
 
-def _hot_marks(hot: DataFrame) -> DataFrame:
-    window = T.StructType([T.StructField("w", T.LongType()), T.StructField("cid", T.BinaryType()), T.StructField("o", T.IntegerType()), T.StructField("copies", T.LongType())])
-
-    def rows(c: dict[str, list]) -> dict[str, list]:
-        out = [[], [], [], []]
-        for cid, ctx, n in zip(c["cid"], c["ctx"], c["copies"], strict=True):
-            k = len(ctx) - LENGTH + 1
-            for column, values in zip(out, ([xxhash.xxh3_64_intdigest(ctx[i : i + LENGTH]) - (1 << 63) for i in range(k)], [cid] * k, range(k), [n] * k), strict=True):
-                column += values
-        return dict(zip(("w", "cid", "o", "copies"), out, strict=True))
+def _marks(kinds: DataFrame, steps: tuple[int, ...] = STEPS) -> DataFrame:
+    """cid, lo and hi of the repeated spans of the contexts ``kinds(h, cid, ctx, copies)``, which are distinct by h and cid.
 
-    windows = arrow_map(hot.select("cid", "ctx", "copies"), rows, window)
-    again = windows.groupBy("w").agg(F.sum("copies").alias("n")).filter("n > 1").select("w")
-    places = windows.join(again, "w", "left_semi").groupBy("cid").agg(F.collect_list("o").alias("o"))
+    Tables of pieces are small beside those of contexts, and stay."""
+    per_key = kinds.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    several = kinds.join(per_key.filter(f"n > 1 AND n <= {HOT}" if steps else "n > 1").select("h"), "h").select("h", "cid", "ctx")
+    alone = kinds.join(per_key.filter("n = 1").select("h"), "h").filter("copies = 1").select("h", "cid", "ctx")  # may match itself
+    parts = int(kinds.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number given is kept: blocks stay spread over tasks
+    ship(kinds.sparkSession)
+    marks = several.unionByName(alone).repartition(parts, "h").sortWithinPartitions("h").mapInArrow(_indexed, MARK)
+    marks = marks.unionByName(kinds.filter("copies > 1").select("cid", F.lit(0).alias("lo"), F.length("ctx").alias("hi")))
+    if not steps:
+        return marks
+    hot = kinds.join(per_key.filter(f"n > {HOT}").select("h"), "h").select("cid", "ctx", "copies")
 
-    def joined(c: dict[str, list]) -> dict[str, list]:
-        out = [[], [], []]
-        for cid, o in zip(c["cid"], c["o"], strict=True):
-            seen = np.zeros(max(o) + 1, bool)
-            seen[o] = True
-            for lo, hi in spans(seen):
-                for column, v in zip(out, (cid, lo, hi), strict=True):
-                    column.append(v)
-        return dict(zip(("cid", "lo", "hi"), out, strict=True))
+    def cut(c: dict[str, list]) -> dict[str, list]:
+        rows = [(cid, at, key, xxhash.xxh3_128_digest(x), x, n) for cid, ctx, n in zip(c["cid"], c["ctx"], c["copies"], strict=True) for key, at, x in pieces(ctx, steps[0])]
+        return dict(zip(PIECE.names, ([*x] for x in zip(*rows, strict=True)), strict=True)) if rows else {n: [] for n in PIECE.names}
 
-    return arrow_map(places, joined, MARK)
+    finer = staged(arrow_map(hot, cut, PIECE), "repeat-pieces")
+    if finer.isEmpty():
+        return marks
+    own = staged(finer.groupBy("h", "cid").agg(F.sum("copies").alias("copies"), F.first("ctx").alias("ctx")), "repeat-contexts")
+    inside = finer.select("whole", "at", "cid").join(_marks(own, steps[1:]), "cid")
+    return marks.unionByName(inside.select(F.col("whole").alias("cid"), (F.col("at") + F.col("lo")).alias("lo"), (F.col("at") + F.col("hi")).alias("hi")))
 
 
 def remove_repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -245,7 +284,8 @@ def remove_repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     classes = keys.filter(F.col("n_bytes") >= LENGTH).groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     first8 = F.conv(F.hex(F.substring("digest", 1, 8)), 16, -10).cast("bigint")
     sources = classes.withColumn("k", first8).join(wanted, "k").select(F.col("digest").alias("_d"), "rep", "copies", "wanted")
-    source_texts = staged(text.join(sources.hint("shuffle_hash"), (F.col("digest") == F.col("_d")) & F.col("doc_id").eqNullSafe(F.col("rep"))).select("digest", "text", "copies", "wanted"), "repeat-texts")
+    source_texts = staged(text.join(sources, (F.col("digest") == F.col("_d")) & F.col("doc_id").eqNullSafe(F.col("rep"))).select("digest", "text", "copies", "wanted"), "repeat-texts")
+    discard(occ)
 
     def cut(c: dict[str, list]) -> dict[str, list]:
         rows = [(h, d, at, xxhash.xxh3_128_digest(x), x, n) for d, t, n, w in zip(c["digest"], c["text"], c["copies"], c["wanted"], strict=True) for h, at, x in contexts(t, w)]
@@ -254,19 +294,12 @@ def remove_repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     cuts = arrow_map(source_texts, cut, CONTEXT)
     places = cuts.select("digest", "at", "cid", F.length("ctx").alias("len"))
     kinds = staged(cuts.groupBy("h", "cid").agg(F.sum("copies").alias("copies"), F.first("ctx").alias("ctx")), "repeat-contexts")
-    per_anchor = kinds.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
-    several = kinds.join(per_anchor.filter(f"n > 1 AND n <= {HOT}").select("h"), "h").select("h", "cid", "ctx")
-    alone = kinds.join(per_anchor.filter("n = 1").select("h"), "h").filter("copies = 1").select("h", "cid", "ctx")  # may match itself
-    dealt = several.unionByName(alone).repartition("h").sortWithinPartitions("h")
-    ship(docs.sparkSession)
-    marks = dealt.mapInArrow(_indexed, MARK)
-    hot = kinds.join(per_anchor.filter(f"n > {HOT}").select("h"), "h")
-    whole = kinds.filter("copies > 1").select("cid", F.lit(0).alias("lo"), F.length("ctx").alias("hi"))
-    marks = staged(marks.unionByName(_hot_marks(hot)).unionByName(whole), "repeat-marks")
+    marks = staged(_marks(kinds), "repeat-marks")
+    discard(kinds)
 
     marked = places.join(marks, "cid").select("digest", F.struct((F.col("at") + F.col("lo")).alias("lo"), (F.col("at") + F.col("hi")).alias("hi")).alias("span"))
     marked = marked.groupBy("digest").agg(F.collect_list("span").alias("spans")).withColumnRenamed("digest", "_d")
-    texts = source_texts.filter("copies = 1").select("digest", "text").join(marked.hint("shuffle_hash"), F.col("digest") == F.col("_d"))
+    texts = source_texts.filter("copies = 1").select("digest", "text").join(marked, F.col("digest") == F.col("_d"))
 
     def removed(c: dict[str, list]) -> dict[str, list]:
         n, spans_, kept = [], [], []
@@ -289,6 +322,7 @@ def remove_repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     schema = T.StructType([T.StructField("digest", T.BinaryType()), T.StructField("kept", T.BinaryType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept_sha256", T.StringType())])
     cut_texts = staged(arrow_map(texts.select("digest", "text", "spans"), removed, schema), "repeat-kept")
+    discard(source_texts, marks)
 
     copied = F.coalesce(F.col("copies") > 1, F.lit(False))
     out = keys.join(classes.select("digest", "copies"), "digest", "left").join(cut_texts.drop("kept"), "digest", "left")
