@@ -37,8 +37,8 @@ MAX_ROWS = 6_000
 CUT = 0.3
 WIDTH, SPAN, GAP = 16, 6, 0.6
 LANDMARKS, POWER, RIDGE = 128, 4, 1.0
-#: Words whose likeness to the landmarks a worker keeps at a time (2 bytes a landmark).
-KEPT = 200_000
+#: Words whose likeness to the landmarks a worker keeps at a time, up to 4 in STEPS steps a unit (2 bytes a landmark; repeated letters make it more than 1).
+KEPT, STEPS = 200_000, 16_000
 LEET = str.maketrans("013457@$!|+", "oieastasiit")
 #: Letters spelled out. An underscore is a mark between letters only, so each text has one reading and lines of marks cost no backtracking.
 SINGLES = re.compile(r"(?<![^\W_])(?:[^\W_][\s.\-_*]{1,3}){3,}[^\W_](?![^\W_])")
@@ -167,7 +167,7 @@ class Likeness:
 
     def __init__(self, landmarks: list[str], kept: int = KEPT):
         self.features = np.ascontiguousarray(feature_rows(landmarks).T)  # triple -> landmarks
-        self.rows, self.place, self.kept = np.zeros((1024, len(landmarks)), np.float16), {}, kept
+        self.rows, self.place, self.kept = np.zeros((1024, len(landmarks)), np.uint16), {}, kept
 
     def learn(self, tokens: list[str]) -> None:
         new = [t for t in tokens if t not in self.place]
@@ -175,25 +175,29 @@ class Likeness:
             self.place.clear()
             new = tokens
         cut = [[p for p in pieces(letters(t)) if len(p) >= 3] for t in new]
-        words = sorted({p for c in cut for p in c})
+        words = list({p for c in cut for p in c})
         at = {p: i for i, p in enumerate(words)}
-        near = np.zeros((len(words) + 1, self.rows.shape[1]), np.float16)  # the last row is that of no word
+        near = np.zeros((len(words) + 1, self.rows.shape[1]), np.uint16)  # the last row is that of no word
         for a in range(0, len(words), 4096):
-            near[a : min(a + 4096, len(words))] = kernel_sums(codes(words[a : a + 4096]), self.features) ** POWER
+            near[a : min(a + 4096, len(words))] = np.rint(np.minimum(kernel_sums(codes(words[a : a + 4096]), self.features), 4) * STEPS)
         start = len(self.place)
         while len(self.rows) < start + len(new):
             self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        for i, (t, c) in enumerate(zip(new, cut, strict=True)):
-            self.place[t] = start + i
-            self.rows[start + i] = near[at[c[0]]] if len(c) == 1 else near[[at[p] for p in c]].max(0) if c else near[-1]
+        self.rows[start : start + len(new)] = near[[at[c[0]] if c else len(words) for c in cut]]
+        for i, c in enumerate(cut):
+            if len(c) > 1:  # a long word is as near as its nearest piece
+                self.rows[start + i] = near[[at[p] for p in c]].max(0)
+        self.place.update(zip(new, range(start, start + len(new)), strict=True))
 
     def vectors(self, texts: list[set[str]]) -> np.ndarray:
         """A row for each text, given by its words: its likeness to each landmark."""
-        out = np.zeros((len(texts), self.rows.shape[1]), np.float32)
+        out = np.zeros((len(texts), self.rows.shape[1]), np.uint16)
         step = self.kept // 4
         for first in range(0, len(texts), 128):
-            part = [sorted(t) for t in texts[first : first + 128]]
-            every = sorted(set().union(*part))
+            part = texts[first : first + 128]
+            every = list(set().union(*part))
+            if len(every) > step:
+                every.sort()
             for a in range(0, len(every), step):  # one turn, unless the texts are very long
                 own = every[a : a + step]
                 self.learn(own)
@@ -201,7 +205,7 @@ class Likeness:
                 for i, tokens in enumerate(inside):
                     if tokens:
                         np.maximum(out[first + i], self.rows[[self.place[t] for t in tokens]].max(0), out=out[first + i])
-        return out
+        return (out.astype(np.float32) / STEPS) ** POWER
 
 
 class Model(NamedTuple):
