@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.rules import PAGE_RULES, evaluate
@@ -24,6 +24,104 @@ def answer_scores(pages: DataFrame, blocked: DataFrame | None = None) -> DataFra
     return d.select("host", "url", "ord", "score")
 
 
+def answer_averages(scores: DataFrame) -> DataFrame:
+    """host, its pages, and the average of their content scores, to one place."""
+    return scores.groupBy("host").agg(F.count(F.lit(1)).alias("pages"), F.round(F.avg("score"), 1).alias("average"))
+
+
+COMMON = ("site", "affected_url", "type", "category", "severity", "source")
+
+
+def combined(parts: dict[str, DataFrame]) -> DataFrame:
+    """All issues of an audit as one bag: every source's rows with its name. A source may lack columns; they are null."""
+    out = None
+    for name, d in parts.items():
+        d = d.withColumn("source", F.lit(name))
+        d = d.select(*[F.col(c).cast("string").alias(c) if c in d.columns else F.lit(None).cast("string").alias(c) for c in COMMON])
+        out = d if out is None else out.unionByName(d)
+    return out
+
+
+def merged_issues(issues: DataFrame, ranked: DataFrame | None) -> DataFrame:
+    """The ranked issues in place of all, if there are any."""
+    return issues if ranked is None or ranked.isEmpty() else ranked
+
+
+def severity_counts(issues: DataFrame, by: str | None = None) -> DataFrame:
+    """How many issues each severity has (null counts as low), with a zero for high, medium and low where there is none."""
+    own = issues.select(*([by] if by else []), F.lower(F.coalesce("severity", F.lit("low"))).alias("severity"))
+    keys = [by, "severity"] if by else ["severity"]
+    have = own.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    three = F.explode(F.array(*map(F.lit, ("high", "medium", "low")))).alias("severity")
+    every = own.select(by).distinct().select(by, three) if by else own.sparkSession.range(1).select(three)
+    return every.withColumn("zero", F.lit(0)).join(have, keys, "full_outer").select(*keys, F.coalesce("n", "zero").cast("bigint").alias("n"))
+
+
+def category_counts(issues: DataFrame) -> DataFrame:
+    return issues.groupBy(F.coalesce(F.nullif(F.col("category"), F.lit("")), F.lit("other")).alias("category")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def crawl_metrics(pages: DataFrame, by: str, discovered: DataFrame | None = None) -> DataFrame:
+    """A row of totals for each site of ``pages``: discovered, crawled, good and failed pages, images, images without text, and the
+    average response time of good pages in whole milliseconds."""
+    good = F.col("status_code") == 200
+    of = lambda c: F.coalesce(F.sum(F.when(good, F.col(c))), F.lit(0))
+    d = pages.groupBy(by).agg(
+        F.count(F.lit(1)).alias("pages_crawled"), F.count_if(good).alias("pages_ok"), F.count_if(~F.coalesce(good, F.lit(False))).alias("pages_failed"),
+        of("images_total").alias("total_images"), of("images_without_alt").alias("images_without_alt"), (of("fetch_ms") / F.greatest(F.count_if(good), F.lit(1))).cast("bigint").alias("avg_response_ms"),
+    )
+    if discovered is None:
+        return d.withColumn("pages_discovered", F.col("pages_crawled"))
+    n = discovered.groupBy(by).agg(F.count(F.lit(1)).alias("pages_discovered"))
+    return d.join(n, by, "left").withColumn("pages_discovered", F.coalesce("pages_discovered", F.lit(0).cast("bigint")))
+
+
+def audit_rows(audits: DataFrame, metrics: DataFrame, key: str = "site") -> DataFrame:
+    """Audits with their metrics beside them, as rows to store."""
+    return audits.join(metrics, key, "left")
+
+
+def project_states(audits: DataFrame, key: str = "project_id") -> DataFrame:
+    """Each project's last run and its score, number of audits, and the audit before the last."""
+    order = F.struct("completed_at", "audit_id")
+    d = audits.groupBy(key).agg(F.max("completed_at").alias("last_run"), F.max_by("score", order).alias("score"), F.count(F.lit(1)).alias("audits"), F.max_by("audit_id", order).alias("audit_id"))
+    return d
+
+
+def with_previous(audits: DataFrame, key: str = "project_id") -> DataFrame:
+    """Audits with the id and score of the one before, of the same project."""
+    w = Window.partitionBy(key).orderBy("completed_at", "audit_id")
+    return audits.withColumn("previous_id", F.lag("audit_id").over(w)).withColumn("previous_score", F.lag("score").over(w))
+
+
+def applied_fixes(issues: DataFrame, project: str | None = None, limit: int = 50) -> DataFrame:
+    """The last fixes that were applied, newest first."""
+    d = issues.filter("fix_applied_at IS NOT NULL")
+    return (d if project is None else d.filter(F.col("project_id") == project)).orderBy(F.col("fix_applied_at").desc(), "issue_id").limit(limit)
+
+
+def reverted(issues: DataFrame, commit: str) -> DataFrame:
+    """Issues with the fix of one commit taken back."""
+    hit = F.coalesce(F.col("commit") == commit, F.lit(False))
+    return issues.withColumn("status", F.when(hit, "reverted").otherwise(F.col("status"))).withColumn("fix_reverted", hit)
+
+
+def audit_by_id(audits: DataFrame, audit_id: str) -> DataFrame:
+    return audits.filter(F.col("audit_id") == audit_id)
+
+
+def intel_rows(rising: DataFrame, top: DataFrame, k: int = 10, most: int = 9999) -> DataFrame:
+    """What is stored of trends: the first k rising queries, their growth held at ``most``, and the first k top ones."""
+    a = rising.orderBy(F.col("growth_pct").desc(), "query").limit(k).select(F.lit("rising").alias("kind"), "query", F.least(F.lit(most), F.col("growth_pct")).cast("double").alias("score"))
+    b = top.orderBy(F.col("value").desc(), "query").limit(k).select(F.lit("top").alias("kind"), "query", F.col("value").cast("double").alias("score"))
+    return a.unionByName(b)
+
+
+def as_json(df: DataFrame, *columns: str) -> DataFrame:
+    """Nested columns as JSON text, for sinks that know none."""
+    return df.withColumns({c: F.to_json(F.col(c)) for c in columns})
+
+
 def issue_rows(issues: DataFrame, fixes: DataFrame) -> DataFrame:
     """``issues(ord, type, affected_url, ...)`` as rows to store, with the outcome of ``fixes(ord, type, url, success, commit, diff, error,
     applied_by)``: fixed or open; of several fixes of an issue the last counts."""

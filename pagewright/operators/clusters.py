@@ -66,8 +66,26 @@ def coverage_gaps(labels: DataFrame, members: DataFrame, keywords: DataFrame, k:
 
 
 def competing_headings(pages: DataFrame, members: DataFrame, site: Column) -> DataFrame:
-    """site, h1, pages and groups of first headings (over 5 letters, in lower case) on pages of two clusters or more; a page in no cluster is one of its own."""
-    p = pages.select(site.alias("site"), "url", tx.strip(F.lower(F.try_element_at("h1", F.lit(1)))).alias("h1")).filter("length(h1) > 5")
+    """site, h1, pages, groups and first_url of first headings (over 5 letters, in lower case) on pages of two clusters or more; a page in no cluster is one of its own."""
+    p = pages.select(site.alias("site"), "url", "ord", tx.strip(F.lower(F.try_element_at("h1", F.lit(1)))).alias("h1")).filter("length(h1) > 5")
     m = members.groupBy("url").agg(F.max("cluster_id").alias("cluster_id"))
-    g = p.join(m, "url", "left").groupBy("site", "h1").agg(F.count(F.lit(1)).alias("pages"), F.countDistinct(F.coalesce("cluster_id", F.concat(F.lit("_none_"), "url"))).alias("groups"))
+    g = p.join(m, "url", "left").groupBy("site", "h1").agg(F.count(F.lit(1)).alias("pages"), F.countDistinct(F.coalesce("cluster_id", F.concat(F.lit("_none_"), "url"))).alias("groups"), F.min_by("url", "ord").alias("first_url"))
     return g.filter("pages >= 2 AND groups >= 2")
+
+
+def lonely_pages(pages: DataFrame, members: DataFrame, site: str = "site", floor: int = 200) -> DataFrame:
+    """site and url of pages of over ``floor`` words in no cluster, of sites that have clusters."""
+    clustered = members.select("url").distinct()
+    having = pages.select(site, "url").join(clustered, "url", "left_semi").select(site).distinct()
+    return pages.filter(F.col("word_count") > floor).join(clustered, "url", "left_anti").join(having, site, "left_semi").select(site, "url")
+
+
+def unclustered_sites(pages: DataFrame, members: DataFrame, site: str = "site", least: int = 5) -> DataFrame:
+    """site and the URL of the first page of sites with at least ``least`` pages and no cluster."""
+    having = pages.select(site, "url").join(members.select("url").distinct(), "url", "left_semi").select(site).distinct()
+    return pages.groupBy(site).agg(F.count(F.lit(1)).alias("n"), F.min_by("url", "ord").alias("url")).filter(F.col("n") >= least).join(having, site, "left_anti").select(site, "url")
+
+
+def label(cluster_id: Column) -> Column:
+    """A cluster's name in words: what follows its site and kind, with capitals."""
+    return tx.title_case(F.regexp_replace(F.regexp_replace(cluster_id, "^(.*/|keyword_|path_)", ""), "[-_]", " "))

@@ -54,4 +54,5 @@ def prioritized(items: DataFrame, k: int = 50) -> DataFrame:
 
 
 def heuristic_risk(priority: Column) -> Column:
-    return F.when(priority == "critical", "high").when(priority == "high", "medium").otherwise("low")
+    """The risk that is taken where nobody was asked."""
+    return F.when(priority == "critical", "MEDIUM").otherwise("LOW")

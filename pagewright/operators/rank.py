@@ -41,6 +41,11 @@ def order_columns() -> list[Column]:
     return [F.when(F.col("priority") == "high", 0).when(F.col("priority") == "medium", 1).otherwise(2), F.col("roi").desc()]
 
 
+def top_actions(ranked_issues: DataFrame, k: int = 10, *ties: str) -> DataFrame:
+    """The first k issues: by priority, then return, then ``ties``."""
+    return ranked_issues.orderBy(*order_columns(), *ties).limit(k)
+
+
 def score(by: list[str], issues: DataFrame) -> DataFrame:
     """The audit score per group: only high, medium and low severities weigh; exact decimals, one place."""
     n = lambda s: F.count_if(F.col("severity") == s)

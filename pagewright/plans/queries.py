@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions import url as ur
 from ..operators import delta, duplicates, graph, parse, rank, search, sites
+from ..storage import staged
 from ..streaming import events as ev
 from .rules import PAGE_RULES, QUERY_RULES, evaluate, rule_input, union_sql
 
@@ -163,13 +164,13 @@ def q_query_rules(spark, sf):
 
 
 def q_issue_delta(spark, sf):
-    i = issues(spark, sf)
+    i = staged(issues(spark, sf), "issues")  # both audits come from it
     before = i.filter("ord % 7 <> 0").withColumn("severity", F.when(F.col("ord") % 5 == 0, "low").otherwise(F.col("severity")))
     return delta.issue_delta(i, before)
 
 
 def q_page_delta(spark, sf):
-    i = issues(spark, sf)
+    i = staged(issues(spark, sf).select("ord", "type", "affected_url"), "issues")
     return delta.page_delta(i.filter("type <> 'no_jsonld'"), i.filter("ord % 7 <> 0"))
 
 
@@ -285,7 +286,8 @@ ORACLE_SQL = {
       d AS (SELECT url, 0::BIGINT AS depth FROM home UNION SELECT dst, depth + 1 FROM d JOIN e ON src = url, most WHERE depth < most) SELECT url, min(depth)::BIGINT AS depth FROM d GROUP BY url""",
     "simhash": f"WITH {_HASH('documents', 'doc_id', 'text')} SELECT doc_id, coalesce(hash, 0) AS hash FROM documents LEFT JOIN hs USING (doc_id)",
     "near_pairs": f"""WITH {PAGES}, q AS (SELECT page_id AS ord, {_NET('url')} AS host, regexp_replace(regexp_replace(html, '(?is)<!--.*?-->|<script\\b.*?</script>|<style\\b.*?</style>|<noscript\\b.*?</noscript>', ' ', 'g'), '(?s)<[^>]*>|&[A-Za-z0-9#]+;', ' ', 'g') AS txt FROM pages),
-{_HASH('q', 'ord', 'txt')}, g AS (SELECT ord, host, coalesce(hash, 0) AS hash FROM q LEFT JOIN hs USING (ord)) SELECT x.host, x.ord AS a, y.ord AS b, bit_count(xor(x.hash, y.hash))::BIGINT AS distance FROM g x JOIN g y ON x.host = y.host AND x.ord < y.ord WHERE bit_count(xor(x.hash, y.hash)) <= 10""",
+{_HASH('q', 'ord', 'txt')}, g AS (SELECT ord, host, coalesce(hash, 0) AS hash FROM q LEFT JOIN hs USING (ord)), f AS (SELECT host, hash, min(ord) AS o FROM g GROUP BY ALL)
+SELECT x.host, least(x.o, y.o) AS a, greatest(x.o, y.o) AS b, bit_count(xor(x.hash, y.hash))::BIGINT AS distance FROM f x JOIN f y ON x.host = y.host AND x.hash < y.hash WHERE bit_count(xor(x.hash, y.hash)) <= 10 UNION ALL SELECT host, o, ord, 0 FROM g JOIN f USING (host, hash) WHERE ord <> o""",
     "thin_documents": "SELECT doc_id, words FROM (SELECT doc_id, len(regexp_extract_all(text, '[\\p{L}\\p{N}_]+'))::BIGINT AS words FROM documents) WHERE words > 0 AND words < 300",
     "path_clusters": f"""WITH {PAGES}, s AS (SELECT p.*, len(internal) AS il, list_filter(string_split(regexp_extract(url, '{_PARTS}', 3), '/'), lambda x: x <> '') AS seg FROM p),
 m AS (SELECT *, len(seg) AS depth, host || '/' || seg[1] AS cluster_id FROM s WHERE len(seg) >= 2), c AS (SELECT cluster_id FROM m GROUP BY 1 HAVING count(DISTINCT url) >= 2)

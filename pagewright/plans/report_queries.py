@@ -93,7 +93,7 @@ def q_coverage_gaps(spark, sf):
 
 def q_competing_headings(spark, sf):
     p = q.pages(spark, sf)
-    return clusters.competing_headings(p, sites.path_clusters(p), ur.netloc(F.col("url")))
+    return clusters.competing_headings(p, sites.path_clusters(p), ur.netloc(F.col("url"))).drop("first_url")
 
 
 def q_answer_scores(spark, sf):
@@ -129,7 +129,7 @@ def q_redirect_rules(spark, sf):
 
 def q_robots_rules(spark, sf):
     r = sites.robots_findings(_relation(spark, q.ROBOTS, "domain string, body string"))
-    return evaluate(r.withColumns({"blocked": F.array_join("blocked", ","), "status_code": F.lit(200)}), ROBOTS_RULES, "domain")
+    return evaluate(r.withColumns({"blocked": F.array_join("blocked", ","), "answer_blocked": F.array_join("answer_blocked", ","), "status_code": F.lit(200)}), ROBOTS_RULES, "domain")
 
 
 def q_link_rules(spark, sf):
@@ -168,7 +168,7 @@ def q_sitemap_missing(spark, sf):
 QUERIES = {k[2:]: v for k, v in list(globals().items()) if k.startswith("q_")}
 
 _SLUG = "regexp_extract(regexp_replace(affected_url, '/+$', ''), '[^/]*$', 0)"
-_LABEL = f"coalesce(nullif(array_to_string(list_transform(string_split(replace({_SLUG}, '-', ' '), ' '), lambda w: upper(w[1]) || lower(w[2:])), ' '), ''), 'Home')"
+_LABEL = f"coalesce(nullif(array_to_string(list_transform(regexp_extract_all(lower(replace({_SLUG}, '-', ' ')), '\\p{{L}}+|[^\\p{{L}}]+'), lambda w: upper(w[1]) || w[2:]), ''), ''), 'Home')"
 _TEMPLATE = "CASE type " + " ".join(f"WHEN '{t}' THEN '{x}'" for t, x in suggest.TEMPLATES.items()) + " END"
 _J = lambda path, kind: f"TRY_CAST(json_extract_string(b, '{path}') AS {kind})"
 _CAT = lambda k: f"CAST(trunc({_J(f'$.lighthouseResult.categories.\"{k}\".score', 'DOUBLE')} * 100) AS INT)"
@@ -223,9 +223,9 @@ ORACLE_SQL = {
     "keyword_rows": f"WITH {q.FACTS}, g AS (SELECT query, {q._M} FROM f GROUP BY query) SELECT query, clicks, impressions, position, round(clicks / greatest(impressions, 1), 6) AS ctr FROM g ORDER BY clicks DESC, query LIMIT 50",
     "head_titles": "SELECT page_id, md5(CASE WHEN regexp_matches(html, '(?is)<title>.*?</title>') THEN regexp_replace(html, '(?is)<title>.*?</title>', t) ELSE regexp_replace(html, '(?i)</head>', '  ' || t || chr(10) || '  </head>') END) AS digest FROM (SELECT *, '<title>Page &amp; &lt;no&gt; ' || page_id || '</title>' AS t FROM pages)",
     "suggestions": f"""WITH {ISSUES}, t AS (SELECT ord, type, {_TEMPLATE} AS x, host, affected_url, {_SLUG} AS slug, {_LABEL} AS label FROM issues)
-      SELECT ord, type, replace(replace(replace(replace(replace(x, '{{name}}', host), '{{domain}}', 'https://' || host), '{{url}}', regexp_replace(affected_url, '[#?].*$', '')), '{{slug}}', slug), '{{label}}', label) AS suggestion FROM t WHERE x IS NOT NULL""",
+      SELECT ord, type, left(replace(replace(replace(replace(replace(replace(x, '{{name}}', host), '{{site}}', 'https://' || host || '/'), '{{domain}}', 'https://' || host), '{{url}}', regexp_replace(affected_url, '[#?].*$', '')), '{{slug}}', slug), '{{label}}', label), CASE WHEN type IN ('missing_meta_description', 'short_meta_description') THEN 160 ELSE 100000 END) AS suggestion FROM t WHERE x IS NOT NULL""",
     "redirect_rules": f"WITH c0 AS ({q.ORACLE_SQL['redirects']}), c AS (SELECT *, {q._NET('start_url')} AS start_host, {q._NET('final_url')} AS final_host FROM c0) " + union_sql("c", REDIRECT_RULES, "start_url"),
-    "robots_rules": f"WITH r AS (SELECT *, 200 AS status_code FROM ({q.ORACLE_SQL['robots']})) " + union_sql("r", ROBOTS_RULES, "domain"),
+    "robots_rules": f"WITH r AS (SELECT *, blocked AS answer_blocked, 200 AS status_code FROM ({q.ORACLE_SQL['robots']})) " + union_sql("r", ROBOTS_RULES, "domain"),
     "link_rules": f"""WITH {_RING}, dep AS ({q.ORACLE_SQL['click_depth']}), v AS (SELECT 'n' || k AS url, 200 AS status_code FROM n), deg AS (SELECT url, status_code, (SELECT count(*) FROM e WHERE dst = v.url) AS in_degree, (SELECT count(*) FROM e WHERE src = v.url) AS out_degree FROM v),
       l AS (SELECT url, status_code, in_degree, out_degree, depth, url = 'n0' AS is_home FROM deg FULL JOIN dep USING (url)) """ + union_sql("l", LINK_RULES, "url"),
     "page_link_rules": f"""WITH {q.EDGES}, dep AS ({q.ORACLE_SQL['page_click_depth']}), i AS (SELECT dst AS url, count(*) AS n FROM e GROUP BY dst), o AS (SELECT src AS url, count(*) AS n FROM e GROUP BY src),

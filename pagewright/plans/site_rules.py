@@ -15,7 +15,7 @@ ROBOTS_RULES = [
     Rule("css_js_blocked", "robots", "high", "status_code = 200 AND assets_blocked"),
     Rule("missing_sitemap_directive", "robots", "medium", "status_code = 200 AND NOT sitemap_named"),
     Rule("wildcard_disallow", "robots", "critical", "status_code = 200 AND all_blocked"),
-    Rule("geo_ai_crawler_blocked", "geo", "critical", "status_code = 200 AND blocked <> ''"),
+    Rule("geo_ai_crawler_blocked", "geo", "critical", "status_code = 200 AND answer_blocked <> ''"),
 ]
 _READ = "found AND NOT parse_error AND NOT is_index AND urls > 0 AND "
 SITEMAP_RULES = [

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -12,15 +13,27 @@ from pyspark.sql import DataFrame
 _own: list[str] = []
 
 
-def staged(df: DataFrame, tag: str) -> DataFrame:
-    """Write as Parquet and read back: lineage ends here, and a lost executor loses nothing."""
-    spark = df.sparkSession
+def folder(spark) -> str:
+    """Where steps are written: a folder that the driver and all executors see, or a temporary one where all runs on this machine."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors see")
         if not _own:
             _own.append(tempfile.mkdtemp(prefix="pagewright-"))
             atexit.register(shutil.rmtree, _own[0], True)
         at = _own[0]
-    path = f"{at.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    return at.rstrip("/")
+
+
+def staged(df: DataFrame, tag: str) -> DataFrame:
+    """Write as Parquet and read back: lineage ends here, and a lost executor loses nothing."""
+    spark = df.sparkSession
+    path = f"{folder(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def exists(spark, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)

@@ -61,7 +61,8 @@ def rate_accepted(events: DataFrame, hour: int = 3, day: int = 10) -> DataFrame:
         for user, parts in itertools.groupby(rows, key=lambda x: x[0]):
             yield from decide(user, (g for _, g in parts))
 
-    return t.repartition("user_id").sortWithinPartitions("user_id", "t", "event_id").mapInPandas(run, "event_id bigint, user_id bigint, allowed boolean")
+    kind = lambda c: events.schema[c].dataType.simpleString()
+    return t.repartition("user_id").sortWithinPartitions("user_id", "t", "event_id").mapInPandas(run, f"event_id {kind('event_id')}, user_id {kind('user_id')}, allowed boolean")
 
 
 def latest_state(events: DataFrame, key: str = "user_id") -> DataFrame:
