@@ -50,32 +50,38 @@ def link_issues(p: DataFrame) -> DataFrame:
     return out.withColumn("site", ur.netloc(F.col("affected_url"))).select("site", "affected_url", "type", "category", "severity")
 
 
-def robots_input(spark, sf) -> DataFrame:
-    s = corpus.sites(spark, sf).select(F.col("site").alias("domain"), "robots_status", F.when(F.col("robots_status") == 200, F.col("robots")).alias("body"))
-    r = sites.robots_findings(s.select("domain", F.coalesce("body", F.lit("")).alias("body")))
-    return r.join(s.select("domain", F.col("robots_status").alias("status_code")), "domain").withColumns({c: F.array_join(c, ",") for c in ("blocked", "answer_blocked")})
+def robots_input(files: DataFrame) -> DataFrame:
+    """What the robots rules look at, one row for each of ``files(domain, status_code, body)``."""
+    r = sites.robots_findings(files.select("domain", F.when(F.col("status_code") == 200, F.coalesce("body", F.lit(""))).otherwise("").alias("body")))
+    return r.join(files.select("domain", "status_code"), "domain").withColumns({c: F.array_join(c, ",") for c in ("blocked", "answer_blocked")})
 
 
-def robots_issues(spark, sf) -> DataFrame:
-    return evaluate(robots_input(spark, sf), ROBOTS_RULES, "domain").withColumnRenamed("domain", "site")
+def robots_issues(files: DataFrame) -> DataFrame:
+    return evaluate(robots_input(files), ROBOTS_RULES, "domain").withColumnRenamed("domain", "site")
 
 
-def sitemap_input(spark, sf, p: DataFrame) -> DataFrame:
-    """One row a site with all that the sitemap rules look at."""
-    entries = corpus.sitemap(spark, sf)
+def _robots(spark, sf) -> DataFrame:
+    return corpus.sites(spark, sf).select(F.col("site").alias("domain"), F.col("robots_status").alias("status_code"), F.col("robots").alias("body"))
+
+
+def sitemap_input(p: DataFrame, entries: DataFrame, states: DataFrame, as_of: str = AS_OF) -> DataFrame:
+    """One row for each of ``states(domain, found, parse_error, is_index, children, bytes)`` with all that the sitemap rules look at."""
     crawl = p.select("url", "status_code")
     canon = sites.canonical_resolutions(p).select(F.col("canonical").alias("url"))
-    a = sites.sitemap_audit(entries.withColumn("loc", ur.canonical_form(F.col("loc"))), crawl.withColumn("url", ur.canonical_form(F.col("url"))), AS_OF, canon)
+    a = sites.sitemap_audit(entries.withColumn("loc", ur.canonical_form(F.col("loc"))), crawl.withColumn("url", ur.canonical_form(F.col("url"))), as_of, canon)
     missing = missing_entries(entries, crawl).groupBy(ur.netloc(F.col("loc")).alias("domain")).agg(F.count(F.lit(1)).alias("missing"))
-    s = corpus.sites(spark, sf).select(F.col("site").alias("domain"), (F.col("sitemap_state") != "none").alias("found"), (F.col("sitemap_state") == "broken").alias("parse_error"), (F.col("h") % 7 == 6).alias("is_index"))
     counts = ("urls", "broken", "stale", "undated", "non_canonical", "missing")
-    d = s.join(a, "domain", "left").join(missing, "domain", "left").withColumns({c: F.coalesce(c, F.lit(0)).cast("bigint") for c in counts})
-    return d.withColumns({"children": F.lit(0), "bytes": F.lit(1000)})
+    return states.join(a, "domain", "left").join(missing, "domain", "left").withColumns({c: F.coalesce(c, F.lit(0)).cast("bigint") for c in counts})
+
 
+def sitemap_issues(p: DataFrame, entries: DataFrame, states: DataFrame, as_of: str = AS_OF) -> DataFrame:
+    out = evaluate(sitemap_input(p, entries, states, as_of), SITEMAP_RULES, "domain").withColumnRenamed("domain", "site")
+    return out.withColumn("affected_url", F.lit(None).cast("string")).unionByName(_issue(broken_entries(entries, p.select("url", "status_code")).withColumnRenamed("domain", "site"), "sitemap_broken_url", "sitemap", "high", "loc"))
 
-def sitemap_issues(spark, sf, p: DataFrame) -> DataFrame:
-    out = evaluate(sitemap_input(spark, sf, p), SITEMAP_RULES, "domain").withColumnRenamed("domain", "site")
-    return out.withColumn("affected_url", F.lit(None).cast("string")).unionByName(_issue(broken_entries(corpus.sitemap(spark, sf), p.select("url", "status_code")).withColumnRenamed("domain", "site"), "sitemap_broken_url", "sitemap", "high", "loc"))
+
+def _states(spark, sf) -> DataFrame:
+    state = F.col("sitemap_state")
+    return corpus.sites(spark, sf).select(F.col("site").alias("domain"), (state != "none").alias("found"), (state == "broken").alias("parse_error"), (F.col("h") % 7 == 6).alias("is_index"), F.lit(0).alias("children"), F.lit(1000).alias("bytes"))
 
 
 def schema_issues(p: DataFrame) -> DataFrame:
@@ -83,10 +89,13 @@ def schema_issues(p: DataFrame) -> DataFrame:
     return out.withColumn("site", ur.netloc(F.col("url"))).withColumnRenamed("url", "affected_url")
 
 
-def file_issues(spark, sf) -> DataFrame:
+def _files(spark, sf) -> DataFrame:
     s = corpus.sites(spark, sf)
     rows = lambda path, body, when: s.select(F.col("site").alias("domain"), F.lit(path).alias("path"), F.when(F.expr(when), 200).otherwise(404).alias("status_code"), F.expr(body).alias("body"))
-    files = rows("/llms.txt", "llms", "llms IS NOT NULL").unionByName(rows("/llms-full.txt", "'x'", "h % 2 = 0")).unionByName(rows("/ai.txt", "'x'", "h % 3 = 0")).unionByName(rows("/.well-known/indexnow", "CASE WHEN h % 4 = 1 THEN '  ' ELSE 'key' END", "h % 2 = 1"))
+    return rows("/llms.txt", "llms", "llms IS NOT NULL").unionByName(rows("/llms-full.txt", "'x'", "h % 2 = 0")).unionByName(rows("/ai.txt", "'x'", "h % 3 = 0")).unionByName(rows("/.well-known/indexnow", "CASE WHEN h % 4 = 1 THEN '  ' ELSE 'key' END", "h % 2 = 1"))
+
+
+def file_issues(files: DataFrame) -> DataFrame:
     return trust.model_file_issues(files).withColumnRenamed("domain", "site")
 
 
@@ -112,11 +121,10 @@ def keywords(p: DataFrame) -> DataFrame:
     return r.select("site", F.col("ord"), query.alias("query"), F.col("url").alias("page"), F.when(F.col("ord") % 100 < 50, 80).otherwise(20).alias("impressions"))
 
 
-def gap_issues(p: DataFrame, members: DataFrame) -> DataFrame:
-    """One issue a cluster that leaves search terms of its topic without a page."""
+def gap_issues(members: DataFrame, k: DataFrame) -> DataFrame:
+    """One issue for each cluster that leaves search terms (``k(site, ord, query, page, impressions)``) of its topic without a page."""
     labels = sites.cluster_summary(members).select("cluster_id", clusters.label(F.col("cluster_id")).alias("label"), "pillar")
     site = F.substring_index("cluster_id", "/", 1)
-    k = keywords(p)
     gaps = clusters.coverage_gaps(labels, members, k.select(F.concat("site", F.lit(" "), "query").alias("query"), "page", "impressions", "ord"))
     gaps = gaps.filter(F.startswith("query", F.concat(F.lower(site), F.lit(" ")))).select("cluster_id").distinct()
     return _issue(gaps.join(labels, "cluster_id").withColumn("site", site), "cluster_coverage_gap", "topical_authority", "medium", "pillar")
@@ -141,8 +149,8 @@ def all_issues(spark, sf) -> DataFrame:
     members = staged(cluster_members(p), "members")
     return audits.combined({
         "pages": page_issues(p), "canonical": canonical_issues(p, corpus.sitemap(spark, sf)), "redirects": redirect_issues(p, staged(corpus.hops(spark, sf), "hops")), "links": link_issues(p),
-        "robots": robots_issues(spark, sf), "sitemap": sitemap_issues(spark, sf, p), "schema": schema_issues(p), "trust": trust.trust_issues(p), "files": file_issues(spark, sf),
-        "clusters": cluster_issues(p, members), "gaps": gap_issues(p, members), "duplicates": duplicate_issues(p, members),
+        "robots": robots_issues(_robots(spark, sf)), "sitemap": sitemap_issues(p, corpus.sitemap(spark, sf), _states(spark, sf)), "schema": schema_issues(p), "trust": trust.trust_issues(p), "files": file_issues(_files(spark, sf)),
+        "clusters": cluster_issues(p, members), "gaps": gap_issues(members, keywords(p)), "duplicates": duplicate_issues(p, members),
     })
 
 
@@ -160,7 +168,7 @@ def q_corpus_page_rules(spark, sf):
 
 def _answers(spark, sf):
     p = rule_input(corpus.pages(spark, sf)).withColumn("host", F.col("site"))
-    return audits.answer_scores(p, robots_input(spark, sf).filter("answer_blocked <> ''").select(F.col("domain").alias("host")))
+    return audits.answer_scores(p, robots_input(_robots(spark, sf)).filter("answer_blocked <> ''").select(F.col("domain").alias("host")))
 
 
 def q_corpus_answer_scores(spark, sf):
@@ -188,15 +196,15 @@ def q_corpus_link_rules(spark, sf):
 
 
 def q_corpus_robots(spark, sf):
-    return robots_input(spark, sf)
+    return robots_input(_robots(spark, sf))
 
 
 def q_corpus_robots_rules(spark, sf):
-    return robots_issues(spark, sf)
+    return robots_issues(_robots(spark, sf))
 
 
 def q_corpus_sitemap_rules(spark, sf):
-    return sitemap_issues(spark, sf, corpus.pages(spark, sf))
+    return sitemap_issues(_staged_pages(spark, sf), corpus.sitemap(spark, sf), _states(spark, sf))
 
 
 def q_corpus_schema_rules(spark, sf):
@@ -208,7 +216,7 @@ def q_corpus_trust_rules(spark, sf):
 
 
 def q_corpus_file_rules(spark, sf):
-    return file_issues(spark, sf)
+    return file_issues(_files(spark, sf))
 
 
 def q_corpus_cluster_rules(spark, sf):
@@ -218,7 +226,7 @@ def q_corpus_cluster_rules(spark, sf):
 
 def q_corpus_gap_rules(spark, sf):
     p = _staged_pages(spark, sf)
-    return gap_issues(p, cluster_members(p))
+    return gap_issues(cluster_members(p), keywords(p))
 
 
 def q_corpus_duplicate_rules(spark, sf):
