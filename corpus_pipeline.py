@@ -3,6 +3,11 @@
 1. quality classifier: documents that it rejects go; 2. line dedup: boilerplate lines go, and documents of which nothing but
 such lines was there; 3. near-duplicates: one document of each group stays; 4. benchmark decontamination: contaminated documents
 go; 5. mixing to target weights: how many words of each document the mix takes, and when.
+
+Edge cases: a null text is scored like an empty one, has no lines and no shingles, duplicates nothing, and takes nothing from the
+mix; rows that are repeated in full stay together (both are the document that stays, or neither); rows that share an id are judged
+each by its own text; a null id is an id like others; an empty table, labels or benchmark passes through (without labels every
+score is 0.5, and all documents stay); other columns are kept up to the mix; texts may be of any length.
 """
 
 from __future__ import annotations

@@ -392,3 +392,36 @@ def test_pipeline_by_hand(spark, tmp_path):
         assert r.size == sizes[i] and r.source_size == of[s] and r.target == pytest.approx(target[s]) and r.taken in {k * r.size for k in range(4)}
     for s in order:
         assert abs(sum(r.taken for i, r in seen[4].items() if left[i][1] == s) - target[s]) <= max(sizes.values())
+
+
+@pytest.mark.parametrize("similarity", [50, 80])
+def test_blocks_by_size_lose_no_link(spark, monkeypatch, similarity):
+    """Large buckets of sets of many sizes, some at exactly the least ratio of sizes."""
+    monkeypatch.setattr(near_dup, "SMALL", 1)
+    monkeypatch.setattr(near_dup, "BLOCK", 3)
+    rng = random.Random(5)
+    base = words(64, rng, 100_000)
+    texts = [" ".join(base[:n]) for n in (2, 4, 5, 8, 10, 16, 20, 25, 32, 40, 50, 64)] + [" ".join(base[n:]) for n in (8, 16, 32)] + [" ".join(words(30, rng, 100_000)) for _ in range(5)]
+    sets = plain_sets(texts, 1)
+    root = {i: i for i in range(len(texts))}
+    for (i, a), (j, b) in combinations(enumerate(sets), 2):
+        if 100 * len(a & b) >= similarity * len(a | b) and root[i] != root[j]:
+            lo, hi = sorted((root[i], root[j]))
+            root = {k: lo if v == hi else v for k, v in root.items()}
+    got = near_dup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), size=1, similarity=similarity).collect()
+    missed = [r.doc_id for r in got if r.component_id != root[r.doc_id]]
+    assert not missed or similarity == 50 and len(missed) <= 2  # bands are made for 80
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_pipeline_on_odd_rows(spark, tmp_path, empty):
+    sf = str(tmp_path)
+    rows = [] if empty else [(*r, len(r[1] or ""), "more") for r in ODD + [(1, "one two three four five six seven", "en", "s"), (8, "one two three four five six seven", None, "s")]]
+    spark.createDataFrame(rows, SCHEMA + ", n_chars long, gone string").write.parquet(f"{sf}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    got = corpus_pipeline.run(spark, sf).collect()
+    assert len(got) == (0 if empty else len(rows) - 1)
+    if not empty:
+        assert sorted((r.doc_id for r in got if r.doc_id is not None)) == sorted(r[0] for r in rows[:-1] if r[0] is not None)
+        assert {r.doc_id: r.size for r in got}[5] == 9000
