@@ -173,12 +173,16 @@ def _across_blocks(docs: DataFrame, own: DataFrame, reps: DataFrame, size: int,
     """a, b: links across components in the large buckets of ``own``, enough of them to join what is similar.
 
     Blocks of nodes meet inside tasks, first by signatures, then those of candidates by full sets; no pair that is not a link
-    becomes a row. The number of blocks follows a bucket's nodes and the size of their sets, which bounds a task's memory.
+    becomes a row. Similar sets are of similar size, so nodes fall into classes by the size of their sets, each class as wide as
+    the similarity allows, and a block meets those of its own class and of the next ones only. The number of blocks follows a
+    class's nodes and the size of their sets, which bounds a task's memory.
     """
-    own = own.join(reps.select("node", "sig", "n_shingles"), "node")
-    blocks = own.groupBy("bucket").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n_shingles") / WEIGHT)).cast("int").alias("blocks"))
-    dealt = own.join(blocks, "bucket").withColumn("blk", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    own = own.join(reps.select("node", "sig", "n_shingles"), "node").withColumn("cls", F.floor(F.log("n_shingles") / F.log(F.lit(100 / similarity)) + 1e-9).cast("bigint"))
+    blocks = own.groupBy("bucket", "cls").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n_shingles") / WEIGHT)).cast("bigint").alias("blocks"))
+    name = lambda c, i: F.shiftleft(c, 32) + i  # noqa: E731  # a block's number: class and place
+    dealt = own.join(blocks, ["bucket", "cls"]).withColumn("blk", name(F.col("cls"), F.pmod(F.xxhash64("node"), F.col("blocks"))))
+    dealt = dealt.withColumn("other", F.explode(F.array(*[F.col("cls") + d for d in (-1, 0, 1)]))).join(blocks.select("bucket", F.col("cls").alias("other"), F.col("blocks").alias("others")), ["bucket", "other"])
+    dealt = dealt.withColumn("_o", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("others") - 1))).withColumn("_o", name(F.col("other"), F.col("_o")))
     dealt = dealt.select("bucket", F.least("blk", "_o").alias("lo"), F.greatest("blk", "_o").alias("hi"), "band", "node", "label", "sig", "blk", F.lit(least).alias("least"), F.lit(similarity).alias("percent"))
     hit = staged(dealt.groupBy("bucket", "lo", "hi").applyInArrow(_hit, dealt.schema), "near-blocks")
     sets = staged(_sets(docs, hit.select("node").distinct(), size), "near-sets")
