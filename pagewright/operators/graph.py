@@ -42,10 +42,6 @@ def orphans(v: DataFrame, e: DataFrame, homepage: str) -> DataFrame:
     return v.filter((F.col("status_code") < 400) & (F.col("url") != home)).join(e.select(F.col("dst").alias("url")), "url", "left_anti").select("url")
 
 
-def sinks(v: DataFrame, e: DataFrame) -> DataFrame:
-    return degrees(v, e).filter("in_degree >= 5 AND out_degree = 0 AND status_code < 400").select("url")
-
-
 def broken_links(pages: DataFrame, v: DataFrame) -> DataFrame:
     """Links to crawled error pages, each as often as it stands."""
     links = pages.select("url", F.explode("internal_link_urls").alias("t")).select("url", graph_form(F.col("t")).alias("dst"))

@@ -43,14 +43,15 @@ def visible_text(html: Column) -> Column:
     return F.regexp_replace(bare, r"(?s)<[^>]*>|&[A-Za-z0-9#]+;", " ")
 
 
-
-def parse_pages(raw: DataFrame) -> DataFrame:
+def parse_pages(raw: DataFrame, limit: int | None = HTML_LIMIT) -> DataFrame:
     """The page relation from ``raw(url, html)``; status_code, fetch_ms, response_bytes, final_url, security_headers, error and
-    ord are taken from ``raw`` if it has them. Other columns are kept."""
+    ord are taken from ``raw`` if it has them. Other columns are kept. Pages are read up to ``limit`` characters, or whole (None)."""
     have = set(raw.columns)
     given = {"status_code": F.lit(200), "fetch_ms": F.lit(0), "final_url": F.col("url"), "error": F.lit(None).cast("string"), "http_link_canonical": F.lit(None).cast("string"),
              "response_bytes": F.octet_length("html"), "security_headers": F.create_map().cast("map<string,string>")}
-    p = raw.withColumns({k: v for k, v in given.items() if k not in have}).withColumn("html", F.substring("html", 1, HTML_LIMIT))
+    p = raw.withColumns({k: v for k, v in given.items() if k not in have})
+    if limit is not None:
+        p = p.withColumn("html", F.substring("html", 1, limit))
     html = F.regexp_replace("html", r"(?is)<!--.*?-->", " ")
     p = p.withColumn("_m", tags(html, "meta")).withColumn("_l", tags(html, "link")).withColumn("_a", tags(html, "a")).withColumn("_i", tags(html, "img"))
 
@@ -97,6 +98,16 @@ def parse_pages(raw: DataFrame) -> DataFrame:
     return p.drop("_m", "_l", "_a", "_i", "_h", "_t")
 
 
+SNAPSHOT = ("url final_url status_code fetch_ms title meta_description h1 h2 word_count internal_links external_links schema_types schema_data images_total images_without_alt"
+            " og_tags canonical hreflang robots_meta lang https internal_link_urls security_headers twitter_tags viewport error").split()
+
+
+def snapshots(pages: DataFrame) -> DataFrame:
+    """What later stages and reports keep of a page: no text, no HTML; security headers by name."""
+    via = F.col("rendered_via") if "rendered_via" in pages.columns else F.lit("plain")
+    return pages.select(*SNAPSHOT, via.alias("rendered_via")).withColumn("security_headers", F.map_keys("security_headers"))
+
+
 def security_headers(headers: Column) -> Column:
     """The security headers among a response's headers, names in lower case."""
     return F.map_filter(F.transform_keys(headers, lambda k, _: F.lower(k)), lambda k, _: k.isin(*SECURITY_HEADERS))

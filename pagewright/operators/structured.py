@@ -85,10 +85,11 @@ def _errors(kind: Column, block: Column) -> Column:
 
 
 def validate(pages: DataFrame) -> DataFrame:
-    """url, pos, schema_type, missing_required, missing_recommended and errors for each block of ``pages(url, schema_data)``."""
+    """url, pos, schema_type, missing_required, missing_recommended, errors and is_valid for each block of ``pages(url, schema_data)``."""
     blocks = pages.select("url", F.posexplode("schema_data").alias("pos", "block")).withColumn("schema_type", block_type(F.col("block")))
     kind, block = F.col("schema_type"), F.col("block")
-    return blocks.select("url", "pos", "schema_type", _absent(REQUIRED, kind, block).alias("missing_required"), _absent(RECOMMENDED, kind, block).alias("missing_recommended"), _errors(kind, block).alias("errors"))
+    d = blocks.select("url", "pos", "schema_type", _absent(REQUIRED, kind, block).alias("missing_required"), _absent(RECOMMENDED, kind, block).alias("missing_recommended"), _errors(kind, block).alias("errors"))
+    return d.withColumn("is_valid", F.col("schema_type").isNotNull() & (F.size("missing_required") == 0))
 
 
 def block_issues(pages: DataFrame) -> DataFrame:

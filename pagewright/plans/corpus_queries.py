@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import url as ur
-from ..operators import audits, checks, clusters, duplicates, graph, rank, sites, structured, trust
+from ..operators import audits, checks, clusters, duplicates, fixes, graph, parse, rank, sites, structured, trust
 from ..storage import staged
 from . import corpus
 from .queries import _CANON, _GRAPH, _NET, _PARTS, _STRIP
@@ -265,6 +265,37 @@ def q_corpus_passed(spark, sf):
     return checks.passed(corpus.pages(spark, sf), all_issues(spark, sf), "site").select("site", "group", "check", "value")
 
 
+def q_corpus_schema_blocks(spark, sf):
+    v = structured.validate(corpus.pages(spark, sf))
+    return v.select("url", "schema_type", "is_valid", F.array_join(F.array_sort("missing_required"), ",").alias("missing"), F.array_join(F.array_sort("missing_recommended"), ",").alias("helpful"), F.size("errors").cast("bigint").alias("n_errors"))
+
+
+def q_corpus_snapshots(spark, sf):
+    """One number a page over all that a snapshot keeps of it."""
+    s = parse.snapshots(corpus.pages(spark, sf))
+    return s.select("url", "rendered_via", F.array_join(F.array_sort("security_headers"), ",").alias("headers"), F.size("internal_link_urls").cast("bigint").alias("links"), F.array_join("h2", "|").alias("h2"), F.size(F.map_keys("og_tags")).cast("bigint").alias("og"))
+
+
+def q_corpus_cluster_metrics(spark, sf):
+    c = sites.cluster_summary(cluster_members(_staged_pages(spark, sf)))
+    return c.select("cluster_id", clusters.label(F.col("cluster_id")).alias("topic"), "pillar", "pages", F.col("authority").cast("bigint").alias("authority"), "cannibalised")
+
+
+def q_corpus_heads(spark, sf):
+    """Repaired heads: each element in place of the one that is there, or before the head's end."""
+    new = F.concat(F.lit("D & <"), "r", F.lit('> "new" '), F.repeat(F.lit("long "), 40))
+    d = corpus.raw(spark, sf)
+    digest = lambda c, n: F.md5(c).alias(n)
+    block = F.lit('{"@type": "Organization", "name": "N"}')
+    return d.select("ord" if "ord" in d.columns else F.col("page_id").alias("ord"), digest(fixes.with_description(F.col("html"), new), "description"), digest(fixes.with_canonical(F.col("html"), F.col("far_url")), "canonical"),
+                    digest(fixes.with_image(F.col("html"), F.concat("origin", F.lit("/og.webp"))), "image"), digest(fixes.with_schema(F.col("html"), block), "block"))
+
+
+def q_corpus_simple_scores(spark, sf):
+    n = rank.score(["site"], all_issues(spark, sf))
+    return n.select("site", rank.simple_score(F.col("high"), F.col("medium")).cast("bigint").alias("score"))
+
+
 QUERIES = {k[2:]: v for k, v in list(globals().items()) if k.startswith("q_")}
 
 _TEXT = "regexp_replace(regexp_replace(html, '(?is)<!--.*?-->|<script\\b.*?</script>|<style\\b.*?</style>|<noscript\\b.*?</noscript>', ' ', 'g'), '(?s)<[^>]*>|&[A-Za-z0-9#]+;', ' ', 'g')"
@@ -453,7 +484,16 @@ _PASSED = (
 _HOURS = "CASE WHEN type IN ('missing_title', 'short_title', 'long_title', 'missing_meta_description', 'short_meta_description', 'long_meta_description', 'missing_viewport', 'missing_html_lang', 'noindex_detected', 'missing_og_title', 'missing_twitter_card') THEN 0.25 WHEN type IN ('missing_h1', 'multiple_h1', 'missing_canonical', 'images_without_alt') THEN 0.5 WHEN type IN ('missing_og_image', 'missing_security_headers') THEN 1 WHEN type IN ('missing_organization_schema', 'no_jsonld') THEN 1.5 WHEN type = 'no_https' THEN 4 WHEN type = 'slow_response' THEN 8 ELSE 2 END::DOUBLE"
 _POINTS = "CASE type WHEN 'noindex_detected' THEN 100 WHEN 'no_https' THEN 90 WHEN 'missing_title' THEN 80 WHEN 'missing_meta_description' THEN 70 WHEN 'slow_response' THEN 70 WHEN 'missing_organization_schema' THEN 50 WHEN 'missing_h1' THEN 40 WHEN 'missing_og_image' THEN 40 WHEN 'missing_security_headers' THEN 35 WHEN 'images_without_alt' THEN 25 ELSE 30 END"
 
+_PATCH = lambda pattern, tag: f"CASE WHEN regexp_matches(html, '(?is){pattern}') THEN regexp_replace(html, '(?is){pattern}', {tag}) ELSE regexp_replace(html, '(?i)</head>', '  ' || {tag} || chr(10) || '  </head>') END"
+
 ORACLE_SQL = {
+    "corpus_schema_blocks": f"WITH {P} SELECT url, kind AS schema_type, r % 9 NOT IN (6, 7) AS is_valid, CASE r % 9 WHEN 7 THEN 'author,datePublished' ELSE '' END AS missing, CASE r % 9 WHEN 1 THEN 'logo,url' WHEN 2 THEN 'brand,description,image,sku' WHEN 3 THEN 'dateModified,image,publisher' WHEN 7 THEN 'dateModified,image,publisher' ELSE '' END AS helpful, CASE r % 9 WHEN 2 THEN 1 WHEN 4 THEN 3 WHEN 5 THEN 1 WHEN 6 THEN 1 ELSE 0 END::BIGINT AS n_errors FROM p WHERE block IS NOT NULL",
+    "corpus_snapshots": f"WITH {P} SELECT url, 'plain' AS rendered_via, CASE r % 4 WHEN 0 THEN '' WHEN 1 THEN 'strict-transport-security' WHEN 2 THEN 'strict-transport-security,x-content-type-options' ELSE 'strict-transport-security,x-content-type-options,x-frame-options' END AS headers, len(list_distinct(list_transform(internal, lambda u: regexp_replace(u, '#.*$', ''))))::BIGINT AS links, CASE WHEN n_h2 > 0 THEN CASE WHEN asks THEN 'What is it' ELSE 'Part 1' END ELSE '' END || CASE WHEN n_h2 > 1 THEN '|Part 2' ELSE '' END || CASE WHEN n_h2 > 2 THEN '|Part 3' ELSE '' END AS h2, ((og_title IS NOT NULL)::INT + (og_image IS NOT NULL)::INT)::BIGINT AS og FROM p",
+    "corpus_cluster_metrics": f"WITH {P}, {CLUSTERS} SELECT cluster_id, CASE WHEN cluster_id LIKE '%/blog' THEN 'Blog' WHEN cluster_id LIKE '%/shop' THEN 'Shop' ELSE 'De' END AS topic, pillar, (SELECT count(*) FROM km WHERE km.cluster_id = kc.cluster_id) AS pages, (SELECT least(100, 5 * sum(il)) FROM km WHERE km.cluster_id = kc.cluster_id)::BIGINT AS authority, twice AS cannibalised FROM kc",
+    "corpus_heads": f"""WITH {P}, t AS (SELECT ord, html, block, '<meta name="description" content="' || replace(replace(replace(replace(left('D & <' || r || '> "new" ' || repeat('long ', 40), 160), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(34), '&quot;') || '" />' AS d, '<link rel="canonical" href="' || far_url || '" />' AS c, '<meta property="og:image" content="' || origin || '/og.webp" />' AS i,
+      '<script type="application/ld+json">' || chr(10) || '{{"@type": "Organization", "name": "N"}}' || chr(10) || '</script>' AS b FROM p)
+      SELECT ord, md5({_PATCH('<meta\\s+name="description"[^>]*/?>', 'd')}) AS description, md5({_PATCH('<link\\s+rel="canonical"[^>]*/?>', 'c')}) AS canonical, md5({_PATCH('<meta\\s+property="og:image"[^>]*/?>', 'i')}) AS image, md5(CASE WHEN block LIKE '%"@type":"Organization"%' THEN html ELSE regexp_replace(html, '(?i)</head>', '  ' || b || chr(10) || '  </head>') END) AS block FROM t""",
+    "corpus_simple_scores": f"{_R}{ALL_ISSUES} SELECT site, greatest(0, 100 - 10 * count(*) FILTER (severity = 'high') - 3 * count(*) FILTER (severity = 'medium'))::BIGINT AS score FROM all_issues GROUP BY site",
     "corpus_pages": f"WITH {P} SELECT ord, site, url, title, meta_description, viewport, robots_meta, canonical, og_title, og_image, twitter_card, images::BIGINT AS images_total, bare_images::BIGINT AS images_without_alt, n_h2::BIGINT AS n_h2, CASE WHEN n_h2 > 0 THEN CASE WHEN asks THEN 'What is it' ELSE 'Part 1' END END AS first_h2, coalesce(kind, '') AS types, (block IS NOT NULL)::BIGINT AS blocks, CASE WHEN r % 7 = 0 THEN 2 ELSE 0 END::BIGINT AS languages, security::BIGINT AS security, word_count::BIGINT AS word_count, len(internal)::BIGINT AS internal_links, (r % 3)::BIGINT AS external_links, md5(html) AS html FROM p",
     "corpus_page_rules": f"WITH {PAGE_ISSUES} SELECT ord, type, category, severity FROM page_issues",
     "corpus_answer_scores": f"WITH {PAGE_ISSUES}, {ROBOTS}, {ANSWERS} SELECT ord, score FROM answers",

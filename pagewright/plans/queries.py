@@ -13,7 +13,6 @@ from ..streaming import events as ev
 from .rules import PAGE_RULES, QUERY_RULES, evaluate, rule_input, union_sql
 
 STOP_WORDS = tuple("der die das ein eine und oder ist sind the a an and or is are in on at to for of with by from was were been be fuer mit von aus nach bei wie wir ihr sie ich du er es nicht auch noch".split())
-FEED_WORDS = ("ouwhea", "thstor", "edoution", "onharent", "licensed", "ouble")
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -175,9 +174,10 @@ def q_page_delta(spark, sf):
 
 
 def q_feed_confirm(spark, sf):
-    """Keywords of a feed (documents by source) that at least two sources have, with their first document."""
-    d = read(spark, sf, "documents").select("doc_id", "source", F.lower("text").alias("t"))
-    k = d.select("doc_id", "source", F.explode(F.filter(F.array(*map(F.lit, FEED_WORDS)), lambda w: F.contains(F.col("t"), w))).alias("keyword"))
+    """Words of the first benchmark items that at least two sources of documents have, with their first document."""
+    long_words = lambda c: F.array_distinct(F.filter(tx.words(F.lower(c)), lambda w: F.length(w) > 7))
+    keys = read(spark, sf, "benchmark").filter("item_id < 10").select(F.explode(long_words("text")).alias("keyword")).distinct()  # ten items
+    k = read(spark, sf, "documents").select("doc_id", "source", F.explode(long_words("text")).alias("keyword")).join(F.broadcast(keys), "keyword")
     return k.groupBy("keyword").agg(F.count(F.lit(1)).alias("items"), F.countDistinct("source").alias("sources"), F.min("doc_id").alias("first_doc")).filter("sources >= 2")
 
 
@@ -299,7 +299,7 @@ SELECT cluster_id, count(*) AS pages, arg_max(url, ((1000 - 100 * depth) + word_
     "issue_delta": f"""WITH {ISSUES}, c AS (SELECT concat(type, '::', affected_url) AS fingerprint, arg_max(severity, ord) AS now FROM issues GROUP BY 1), b AS (SELECT concat(type, '::', affected_url) AS fingerprint, arg_max(CASE WHEN ord % 5 = 0 THEN 'low' ELSE severity END, ord) AS before FROM issues WHERE ord % 7 <> 0 GROUP BY 1)
 SELECT fingerprint, CASE WHEN before IS NULL THEN 'new' WHEN now IS NULL THEN 'resolved' ELSE 'persistent' END AS status, now, before, coalesce(list_position(['info', 'low', 'medium', 'high', 'critical'], now) > list_position(['info', 'low', 'medium', 'high', 'critical'], before), false) AS regressed FROM c FULL JOIN b USING (fingerprint)""",
     "page_delta": f"WITH {ISSUES}, c AS (SELECT affected_url, count(*) AS now FROM issues WHERE type <> 'no_jsonld' GROUP BY 1), b AS (SELECT affected_url, count(*) AS before FROM issues WHERE ord % 7 <> 0 GROUP BY 1) SELECT affected_url, coalesce(now, 0) AS now, coalesce(before, 0) AS before, coalesce(now, 0) - coalesce(before, 0) AS change FROM c FULL JOIN b USING (affected_url)",
-    "feed_confirm": f"SELECT keyword, count(*) AS items, count(DISTINCT source) AS sources, min(doc_id) AS first_doc FROM (SELECT doc_id, source, unnest(list_filter({list(FEED_WORDS)}, lambda w: contains(lower(text), w))) AS keyword FROM documents) GROUP BY 1 HAVING count(DISTINCT source) >= 2",
+    "feed_confirm": "WITH w AS (SELECT doc_id, source, unnest(list_distinct(list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'), lambda w: length(w) > 7))) AS keyword FROM documents), b AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS keyword FROM benchmark WHERE item_id < 10) SELECT keyword, count(*) AS items, count(DISTINCT source) AS sources, min(doc_id) AS first_doc FROM w JOIN b USING (keyword) GROUP BY 1 HAVING count(DISTINCT source) >= 2",
     "robots": "SELECT * FROM (VALUES ('one.example', true, 'gptbot', true, false), ('two.example', false, 'claudebot', false, true)) AS v(domain, sitemap_named, blocked, assets_blocked, all_blocked)",
     "redirects": f"""WITH RECURSIVE h AS {_values(HOPS, "url, status_code, location")}, w AS (SELECT url AS start_url, url AS at, [url] AS path, false AS lp, NULL::INT AS lst FROM h
 UNION ALL SELECT start_url, location, CASE WHEN list_contains(path, location) THEN path ELSE list_append(path, location) END, list_contains(path, location), status_code FROM w JOIN h ON h.url = w.at WHERE NOT lp AND status_code BETWEEN 300 AND 399 AND coalesce(location, '') <> '')
