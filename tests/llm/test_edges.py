@@ -425,3 +425,10 @@ def test_pipeline_on_odd_rows(spark, tmp_path, empty):
     if not empty:
         assert sorted((r.doc_id for r in got if r.doc_id is not None)) == sorted(r[0] for r in rows[:-1] if r[0] is not None)
         assert {r.doc_id: r.size for r in got}[5] == 9000
+
+
+def test_long_texts_lose_lines_in_linear_time(spark):
+    """Twenty thousand lines a text: cutting the text anew for each line would take minutes."""
+    rows = [(i, "\n".join([f"line {i} number {k} of text" for k in range(20_000)] + ["the same line on every site"] * 3), "en", f"s{i}") for i in range(6)]
+    got = {r.doc_id: (r.n_lines, r.n_removed, len(r.text)) for r in line_dedup.line_dedup(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {i: (20_003, 3 if i else 0, len(t) - (3 * 28 if i else 0)) for i, t, *_ in rows}
