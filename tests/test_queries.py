@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 from pagewright.plans import audit_queries, corpus_queries, queries, report_queries, site_queries
+from pagewright.storage import staged
 
 PLANS = (queries, site_queries, report_queries, corpus_queries, audit_queries)
 ORACLE_SQL = {k: v for m in PLANS for k, v in m.ORACLE_SQL.items()}
@@ -23,6 +24,15 @@ def duck():
     return con
 
 
+@pytest.fixture(scope="module", autouse=True)
+def one_bag(spark):
+    """The issues of all sources are gathered once for all queries that begin with them."""
+    every = staged(corpus_queries.all_issues(spark, SF), "issues")
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(corpus_queries, "all_issues", lambda spark, sf: every)
+        yield
+
+
 def rows(frame):
     cols = sorted(frame.columns)
     return sorted(tuple("" if v is None or v != v else str(v) for v in r) for r in frame[cols].itertuples(index=False))
