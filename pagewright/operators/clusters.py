@@ -65,11 +65,11 @@ def coverage_gaps(labels: DataFrame, members: DataFrame, keywords: DataFrame, k:
     return open_.withColumn("rank", F.row_number().over(Window.partitionBy("cluster_id").orderBy("ord"))).filter(F.col("rank") <= k).select("cluster_id", "query", "rank")
 
 
-def competing_headings(pages: DataFrame, members: DataFrame, site: Column) -> DataFrame:
-    """site, h1, pages, groups and first_url of first headings (over 5 letters, in lower case) on pages of two clusters or more; a page in no cluster is one of its own."""
-    p = pages.select(site.alias("site"), "url", "ord", tx.strip(F.lower(F.try_element_at("h1", F.lit(1)))).alias("h1")).filter("length(h1) > 5")
+def competing_headings(pages: DataFrame, members: DataFrame, site: Column, first: bool = False) -> DataFrame:
+    """site, h1, pages and groups (with ``first`` also first_url, by ``ord``) of first headings (over 5 letters, in lower case) on pages of two clusters or more; a page in no cluster is one of its own."""
+    p = pages.select(site.alias("site"), "url", *(["ord"] if first else []), tx.strip(F.lower(F.try_element_at("h1", F.lit(1)))).alias("h1")).filter("length(h1) > 5")
     m = members.groupBy("url").agg(F.max("cluster_id").alias("cluster_id"))
-    g = p.join(m, "url", "left").groupBy("site", "h1").agg(F.count(F.lit(1)).alias("pages"), F.countDistinct(F.coalesce("cluster_id", F.concat(F.lit("_none_"), "url"))).alias("groups"), F.min_by("url", "ord").alias("first_url"))
+    g = p.join(m, "url", "left").groupBy("site", "h1").agg(F.count(F.lit(1)).alias("pages"), F.countDistinct(F.coalesce("cluster_id", F.concat(F.lit("_none_"), "url"))).alias("groups"), *([F.min_by("url", "ord").alias("first_url")] if first else []))
     return g.filter("pages >= 2 AND groups >= 2")
 
 

@@ -134,7 +134,7 @@ def duplicate_issues(p: DataFrame, members: DataFrame) -> DataFrame:
     good = p.filter("status_code = 200")
     near = duplicates.near_duplicate_pages(good, "site", members, sites.canonical_pairs(good))
     out = _issue(near, "near_duplicate_content", "duplicate_content", "high", "a")
-    same = clusters.competing_headings(good, members, F.col("site"))
+    same = clusters.competing_headings(good, members, F.col("site"), first=True)
     return out.unionByName(_issue(same, "keyword_cannibalization", "duplicate_content", "high", "first_url"))
 
 

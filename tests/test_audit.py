@@ -378,6 +378,8 @@ def test_stages(spark):
     assert stages.applier_of("static") and stages.APPLIERS
     with pytest.raises(ValueError):
         stages.applier_of("cms")
+    for name in ("good", "bad", "idle"):
+        del stages.ANALYZERS[name]
 
 
 # the bus, on tables and streams
