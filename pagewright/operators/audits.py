@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.numbers import rounded
 from ..plans.rules import PAGE_RULES, evaluate
 
 # Points of each check.
@@ -26,7 +27,7 @@ def answer_scores(pages: DataFrame, blocked: DataFrame | None = None) -> DataFra
 
 def answer_averages(scores: DataFrame) -> DataFrame:
     """host, its pages, and the average of their content scores, to one place."""
-    return scores.groupBy("host").agg(F.count(F.lit(1)).alias("pages"), F.round(F.avg("score"), 1).alias("average"))
+    return scores.groupBy("host").agg(F.count(F.lit(1)).alias("pages"), rounded(F.avg("score"), 1).alias("average"))
 
 
 COMMON = ("site", "affected_url", "type", "category", "severity", "source")

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.numbers import rounded
+
 DIMENSIONS = ("query", "page", "device", "country")
 
 
 def _measures():
-    return [F.sum("clicks").alias("clicks"), F.sum("impressions").alias("impressions"), F.round(F.avg("position"), 2).alias("position")]
+    return [F.sum("clicks").alias("clicks"), F.sum("impressions").alias("impressions"), rounded(F.avg("position"), 2).alias("position")]
 
 
 def rollup(facts: DataFrame) -> DataFrame:
@@ -19,8 +21,8 @@ def rollup(facts: DataFrame) -> DataFrame:
 
 
 def totals(facts: DataFrame) -> DataFrame:
-    t = facts.agg(F.sum("clicks").alias("clicks"), F.sum("impressions").alias("impressions"), F.round(F.avg("position"), 2).alias("avg_position"))
-    return t.withColumn("avg_ctr", F.round(100 * F.col("clicks") / F.greatest("impressions", F.lit(1)), 2))
+    t = facts.agg(F.sum("clicks").alias("clicks"), F.sum("impressions").alias("impressions"), rounded(F.avg("position"), 2).alias("avg_position"))
+    return t.withColumn("avg_ctr", rounded(F.col("clicks") / F.greatest("impressions", F.lit(1)) * 100, 2))
 
 
 def by_query(facts: DataFrame) -> DataFrame:

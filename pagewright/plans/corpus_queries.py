@@ -497,7 +497,7 @@ ORACLE_SQL = {
     "corpus_pages": f"WITH {P} SELECT ord, site, url, title, meta_description, viewport, robots_meta, canonical, og_title, og_image, twitter_card, images::BIGINT AS images_total, bare_images::BIGINT AS images_without_alt, n_h2::BIGINT AS n_h2, CASE WHEN n_h2 > 0 THEN CASE WHEN asks THEN 'What is it' ELSE 'Part 1' END END AS first_h2, coalesce(kind, '') AS types, (block IS NOT NULL)::BIGINT AS blocks, CASE WHEN r % 7 = 0 THEN 2 ELSE 0 END::BIGINT AS languages, security::BIGINT AS security, word_count::BIGINT AS word_count, len(internal)::BIGINT AS internal_links, (r % 3)::BIGINT AS external_links, md5(html) AS html FROM p",
     "corpus_page_rules": f"WITH {PAGE_ISSUES} SELECT ord, type, category, severity FROM page_issues",
     "corpus_answer_scores": f"WITH {PAGE_ISSUES}, {ROBOTS}, {ANSWERS} SELECT ord, score FROM answers",
-    "corpus_answer_averages": f"WITH {PAGE_ISSUES}, {ROBOTS}, {ANSWERS} SELECT site AS host, count(*) AS pages, round(avg(score), 1) AS average FROM answers GROUP BY site",
+    "corpus_answer_averages": f"WITH {PAGE_ISSUES}, {ROBOTS}, {ANSWERS} SELECT site AS host, count(*) AS pages, printf('%.1f', avg(score))::DOUBLE AS average FROM answers GROUP BY site",
     "corpus_canonical_rules": f"WITH {P}, {CANON} SELECT * FROM canonical_issues",
     "corpus_canonical_signals": f"WITH {P}, {CANON} SELECT url, canonical, CASE WHEN NOT own THEN 'html' WHEN listed THEN 'sitemap' ELSE 'self' END AS signal, listed FROM cs",
     "corpus_redirect_rules": f"{_R}{P}, {REDIRECTS} SELECT * FROM redirect_issues",

@@ -259,7 +259,7 @@ v AS (SELECT DISTINCT {_GRAPH('url')} AS url FROM p),
 e AS (SELECT DISTINCT src, dst FROM (SELECT {_GRAPH('url')} AS src, {_GRAPH('t')} AS dst FROM (SELECT url, unnest(internal) AS t FROM p)) WHERE dst <> '' AND dst <> src)"""
 FACTS = """f AS (SELECT p_brand AS query, p_type AS page, l_returnflag AS device, n_name AS country, l_quantity::BIGINT AS clicks, l_quantity::BIGINT * (20 + l_linenumber * 5) AS impressions, (l_linenumber * 3)::DOUBLE AS position
 FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)"""
-_M = "sum(clicks)::BIGINT AS clicks, sum(impressions)::BIGINT AS impressions, round(avg(position), 2) AS position"
+_M = "sum(clicks)::BIGINT AS clicks, sum(impressions)::BIGINT AS impressions, printf('%.2f', avg(position))::DOUBLE AS position"
 _BITS = lambda key: ", ".join(f"CASE WHEN sum(CASE WHEN (x >> {i}) & 1 = 1 THEN n ELSE -n END) >= 0 THEN 1::UBIGINT << {i} ELSE 0::UBIGINT END AS b{i}" for i in range(64))
 _HASH = lambda src, key, text: f"""tok AS (SELECT {key}, t, count(*) AS n, ('0x' || substr(md5(t), 17, 16))::UBIGINT AS x FROM (SELECT {key}, unnest(regexp_extract_all(lower({text}), '[\\p{{L}}\\p{{N}}_]+')) AS t FROM {src}) GROUP BY {key}, t),
 bits AS (SELECT {key}, {_BITS(key)} FROM tok GROUP BY {key}),
@@ -293,7 +293,7 @@ SELECT x.host, least(x.o, y.o) AS a, greatest(x.o, y.o) AS b, bit_count(xor(x.ha
 m AS (SELECT *, len(seg) AS depth, host || '/' || seg[1] AS cluster_id FROM s WHERE len(seg) >= 2), c AS (SELECT cluster_id FROM m GROUP BY 1 HAVING count(DISTINCT url) >= 2)
 SELECT cluster_id, count(*) AS pages, arg_max(url, ((1000 - 100 * depth) + word_count + 50 * il) * 1000000000 - ord) AS pillar, least(100, sum(il) * 5)::BIGINT AS authority, round(count(*) FILTER (il > 0) / count(*), 4) AS linked FROM m JOIN c USING (cluster_id) GROUP BY 1""",
     "search_rollup": f"WITH {FACTS} " + " UNION ALL ".join(f"SELECT '{d}' AS dimension, {d} AS value, {_M} FROM f GROUP BY {d}" for d in search.DIMENSIONS),
-    "search_totals": f"WITH {FACTS} SELECT sum(clicks)::BIGINT AS clicks, sum(impressions)::BIGINT AS impressions, round(avg(position), 2) AS avg_position, round(100 * sum(clicks)::DOUBLE / greatest(sum(impressions), 1), 2) AS avg_ctr FROM f",
+    "search_totals": f"WITH {FACTS} SELECT sum(clicks)::BIGINT AS clicks, sum(impressions)::BIGINT AS impressions, printf('%.2f', avg(position))::DOUBLE AS avg_position, printf('%.2f', sum(clicks)::DOUBLE / greatest(sum(impressions), 1) * 100)::DOUBLE AS avg_ctr FROM f",
     "search_top": f"WITH {FACTS} SELECT page, {_M} FROM f GROUP BY page ORDER BY clicks DESC, page LIMIT 10",
     "query_rules": f"WITH {FACTS}, g AS (SELECT query || '/' || country AS query, {_M} FROM f GROUP BY 1) " + union_sql("g", QUERY_RULES, "query", "clicks", "impressions", "position"),
     "issue_delta": f"""WITH {ISSUES}, c AS (SELECT concat(type, '::', affected_url) AS fingerprint, arg_max(severity, ord) AS now FROM issues GROUP BY 1), b AS (SELECT concat(type, '::', affected_url) AS fingerprint, arg_max(CASE WHEN ord % 5 = 0 THEN 'low' ELSE severity END, ord) AS before FROM issues WHERE ord % 7 <> 0 GROUP BY 1)

@@ -466,3 +466,16 @@ def test_accepted_requests_only_count(spark, kind):
             kept[u].append(at)
     got = {int(r.event_id): r.allowed for r in events.rate_accepted(d).collect()}
     assert got == want and 20 < sum(want.values()) < 280
+
+
+def test_rounding_by_exact_values(spark):
+    import random
+
+    from pagewright.functions.numbers import rounded
+
+    rng = random.Random(7)
+    values = [2.675, 0.125, 0.375, -2.5, 2.5, 1.005, 0.5, 1.5, -0.15, 62.35, 62.25, 1e300, 0.0, 99.95, 4503599627370497.5] + [rng.randint(-10**6, 10**6) / rng.choice([8, 20, 40, 200, 2000, 3]) for _ in range(3000)]
+    for places in (0, 1, 2, 3):
+        got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "x double").select(rounded(F.col("x"), places)).collect()]
+        assert got == [round(v, places) + 0.0 for v in values]
+    assert spark.range(1).select(rounded(F.lit(None).cast("double"), 1)).first()[0] is None
