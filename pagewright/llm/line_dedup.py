@@ -48,13 +48,14 @@ def line_dedup(docs: DataFrame, min_sites: int = MIN_SITES, min_words: int = MIN
     lines = staged(lines.select("doc_id", "k", "k2", "pos", "site", F.xxhash64(trimmed).alias("h"), F.xxhash64(F.lit(1), trimmed).alias("h2")), "lines")
     found = boilerplate(lines, min_sites)
     gone = lines.join(found, ["h", "h2"]).filter(~F.col("doc_id").eqNullSafe(F.col("keeper"))).groupBy("k", "k2").agg(F.collect_set("pos").alias("gone"))
-    # the lines as a column of their own: inside the lambda they would be cut anew for each line
-    marked = own.join(gone, ["k", "k2"], "left").withColumn("parts", F.split("row.text", "\n", -1))
-    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), "gone"), lambda i: F.get("parts", i))
-    left = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(F.array_join(kept, "\n"))
+    marked = own.join(gone, ["k", "k2"], "left")
+    text = F.col("row.text")
+    # only texts that lose lines are cut, each once: as the argument of filter, not inside its lambda
+    kept = F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains("gone", i))
+    left = F.when(F.col("gone").isNull(), text).otherwise(F.array_join(kept, "\n"))
     columns_out = [left.alias(c) if c == "text" else F.col(f"row.`{c}`") for c in columns]
-    n_lines = F.when(F.col("parts").isNull(), 0).otherwise(F.size("parts")).cast("bigint").alias("n_lines")
-    return marked.select(*columns_out, n_lines, F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("bigint").alias("n_removed"))
+    n_lines = F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
+    return marked.select(*columns_out, F.coalesce(n_lines, F.lit(0)).cast("bigint").alias("n_lines"), F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("bigint").alias("n_removed"))
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
