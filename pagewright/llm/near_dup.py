@@ -3,7 +3,7 @@
 Two permutations of the 32-bit circle make all signature coordinates: the first scatters the shingle hashes, the second, shifted
 by one place for each coordinate, orders them; a coordinate is the least place that any shingle gets. Coordinates in bands of
 ROWS make buckets. With 24 bands of 4, a pair at similarity 0.8 shares no bucket with probability 3e-6, and has an estimate
-below 0.5, which is not verified, with probability 1e-10.
+below 0.5, which is not verified, with probability 1e-11.
 
 Documents with equal shingle sets are one node. In each bucket every node is compared with one hub, the node that shares most
 buckets with others; verified links are joined into components. Where a bucket still holds

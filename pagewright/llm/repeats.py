@@ -20,7 +20,7 @@ Texts are byte strings; matches never cross documents, and strings are judged on
 Exact copies are found by digest first: all but short ones go as a whole, and one of them stands for all in steps 2 to 4.
 Contexts are cut out of the texts twice, once for the index and once for their places, which costs less than storing them.
 
-Memory of a task: a block has at most BLOCK bytes and one more anchor, that is 0.45 MB, and takes some 60 MB while it is
+Memory of a task: a block has at most BLOCK bytes and one more anchor, that is 0.45 MB, and takes some 70 MB while it is
 indexed; texts are hashed in segments of SEGMENT bytes, however long they are.
 
 Edge cases: null texts are empty; texts under LENGTH bytes are kept; repeated rows are copies of each other; an empty table gives
