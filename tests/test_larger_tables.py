@@ -1,13 +1,19 @@
 """What shows only on tables with repeated URLs, more sites or larger groups than sf0.001 has."""
 
 from pagewright.operators import clusters
-from pagewright.plans import corpus_queries
+from pagewright.plans import corpus_queries, queries
 
 
 def rows(df):
     return sorted((tuple(r) for r in df.collect()), key=str)
 
 
+def _repeated_urls(spark, tmp_path):
+    d = spark.createDataFrame([(i, f"https://a.example/{i % 3}") for i in range(1, 13)], "page_id long, url string")
+    d.write.parquet(f"{tmp_path}/pages.parquet")
+    return str(tmp_path)
+
+
 def test_a_gap_of_a_late_site_is_found(spark):
     ids = [f"s{i}.example/blog" for i in range(15)]
     members = spark.createDataFrame([(c, f"https://{c}/{j}", 10 * i + j, 5, 0, "t", 2) for i, c in enumerate(ids) for j in range(2)], "cluster_id string, url string, ord long, word_count int, internal_links int, title string, depth int")
@@ -21,3 +27,8 @@ def test_coverage_gaps_within_a_site(spark):
     k = spark.createDataFrame([("a", 1, "blog one", "https://a/1", 30), ("b", 2, "blog two", "https://b/1", 30), ("b", 3, "BLOG three", "https://b/2", 30), ("b", 4, "blog four", "https://b/2", 29)], "site string, ord int, query string, page string, impressions int")
     assert rows(clusters.coverage_gaps(labels, members, k, within=("site",))) == [("a/x", "blog one", 1), ("b/x", "blog three", 1)]
     assert rows(clusters.coverage_gaps(labels, members, k.drop("site"))) == [("a/x", "blog one", 1), ("a/x", "blog three", 3), ("a/x", "blog two", 2), ("b/x", "blog one", 1), ("b/x", "blog three", 2)]
+
+
+def test_sitemap_audit_of_urls_crawled_more_than_once(spark, tmp_path):
+    got = queries.q_sitemap_audit(spark, _repeated_urls(spark, tmp_path)).collect()
+    assert [tuple(r) for r in got] == [("a.example", 12, 3, 4, 4, 6)]
