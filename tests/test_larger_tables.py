@@ -1,6 +1,10 @@
 """What shows only on tables with repeated URLs, more sites or larger groups than sf0.001 has."""
 
-from pagewright.operators import clusters
+import random
+
+from pyspark.sql import functions as F
+
+from pagewright.operators import clusters, duplicates
 from pagewright.plans import corpus_queries, queries, report_queries
 
 
@@ -37,3 +41,27 @@ def test_sitemap_audit_of_urls_crawled_more_than_once(spark, tmp_path):
 def test_sitemap_broken_of_urls_crawled_more_than_once(spark, tmp_path):
     got = report_queries.q_sitemap_broken(spark, _repeated_urls(spark, tmp_path))
     assert rows(got) == [("a.example", "https://a.example/0", 404), ("a.example", "https://a.example/1", 404), ("a.example", "https://a.example/2", 404)]
+
+
+def _near(hashes):
+    return {(i, j) for i in range(len(hashes)) for j in range(i + 1, len(hashes)) if hashes[i] != hashes[j] and bin(hashes[i] ^ hashes[j]).count("1") <= 10}
+
+
+def test_near_pairs_of_a_group_of_several_parts(spark, monkeypatch):
+    rng = random.Random(5)
+    base = [rng.getrandbits(63) for _ in range(6)]
+    hashes = list(dict.fromkeys(b ^ sum(1 << i for i in rng.sample(range(63), rng.randrange(9))) for b in base for _ in range(40)))
+    monkeypatch.setattr(duplicates, "PART", 16)
+    h = spark.createDataFrame([(i, x, s) for i, x in enumerate(hashes) for s in ("a", "b") if s == "a" or i < 10], "id long, hash long, site string")
+    got = duplicates.near_pairs(h, "id", ["site"]).collect()
+    assert len(got) == len({(r.site, r.a, r.b) for r in got})
+    assert {(r.a, r.b) for r in got if r.site == "a"} == _near(hashes)
+    assert {(r.a, r.b) for r in got if r.site == "b"} == _near(hashes[:10])
+
+
+def test_near_pairs_broadcast_no_classes(spark):
+    """An explode hides from the optimizer how many rows there are, so the driver must never gather them."""
+    h = spark.range(200).select("id", F.xxhash64("id").alias("hash"), F.lit("s").alias("site"))
+    plan = duplicates.near_pairs(h, "id", ["site"])._jdf.queryExecution().executedPlan().toString()
+    pairs = plan[: plan.index("Generate")]
+    assert "SortMergeJoin" in pairs and "BroadcastHashJoin" not in pairs
