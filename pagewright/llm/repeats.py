@@ -218,7 +218,9 @@ def _indexed(batches):
 
     def marks(block):
         cids, los, his = [], [], []
-        for (cid, ctx), ms in zip(block, matching_statistics([c for _, c in block]), strict=True):
+        for (cid, ctx, copies), ms in zip(block, matching_statistics([c for _, c, _ in block]), strict=True):
+            if copies > 1:  # repeated as a whole; here only for others to match
+                continue
             for lo, hi in spans(ms[: len(ctx) - LENGTH + 1] >= LENGTH):
                 cids.append(cid)
                 los.append(lo)
@@ -227,11 +229,11 @@ def _indexed(batches):
 
     block, size, last = [], 0, None
     for b in batches:
-        for h, cid, ctx in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+        for h, cid, ctx, copies in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
             if h != last and size > BLOCK:
                 yield marks(block)
                 block, size = [], 0
-            block.append((cid, ctx))
+            block.append((cid, ctx, copies))
             size += len(ctx)
             last = h
     if block:
@@ -240,11 +242,12 @@ def _indexed(batches):
 
 def _marks(kinds: DataFrame, steps: tuple[int, ...] = STEPS) -> DataFrame:
     """cid, lo and hi of the repeated spans of the contexts ``kinds(h, cid, ctx, copies)``, which are distinct by h and cid.
+    One with copies is repeated as a whole, which is its only mark: else each of its places would meet each of its pieces' marks.
 
     Tables of pieces are small beside those of contexts, and stay."""
     per_key = kinds.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
-    several = kinds.join(per_key.filter(f"n > 1 AND n <= {HOT}" if steps else "n > 1").select("h"), "h").select("h", "cid", "ctx")
-    alone = kinds.join(per_key.filter("n = 1").select("h"), "h").filter("copies = 1").select("h", "cid", "ctx")  # may match itself
+    several = kinds.join(per_key.filter(f"n > 1 AND n <= {HOT}" if steps else "n > 1").select("h"), "h").select("h", "cid", "ctx", "copies")
+    alone = kinds.join(per_key.filter("n = 1").select("h"), "h").filter("copies = 1").select("h", "cid", "ctx", "copies")  # may match itself
     parts = int(kinds.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number given is kept: blocks stay spread over tasks
     ship(kinds.sparkSession)
     marks = several.unionByName(alone).repartition(parts, "h").sortWithinPartitions("h").mapInArrow(_indexed, MARK)
@@ -261,7 +264,7 @@ def _marks(kinds: DataFrame, steps: tuple[int, ...] = STEPS) -> DataFrame:
     if finer.isEmpty():
         return marks
     own = staged(finer.groupBy("h", "cid").agg(F.sum("copies").alias("copies"), F.first("ctx").alias("ctx")), "repeat-contexts")
-    inside = finer.select("whole", "at", "cid").join(_marks(own, steps[1:]), "cid")
+    inside = finer.filter("copies = 1").select("whole", "at", "cid").join(_marks(own, steps[1:]), "cid")
     return marks.unionByName(inside.select(F.col("whole").alias("cid"), (F.col("at") + F.col("lo")).alias("lo"), (F.col("at") + F.col("hi")).alias("hi")))
 
 
