@@ -71,3 +71,8 @@ def test_the_bag_of_issues_reads_only_what_its_sources_wrote(spark):
     """The plans of all sources as one are more than the driver holds: none may be left in the plan of what is counted from them."""
     plan = corpus_queries.all_issues(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Scan parquet") == 12 and "Join" not in plan and "Exchange" not in plan and "Aggregate" not in plan
+
+
+def test_passed_checks_look_at_the_pages_that_were_written(spark):
+    plan = corpus_queries.q_corpus_passed(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "html#" not in plan and plan.count("Scan parquet") == 13
