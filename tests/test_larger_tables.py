@@ -76,3 +76,8 @@ def test_the_bag_of_issues_reads_only_what_its_sources_wrote(spark):
 def test_passed_checks_look_at_the_pages_that_were_written(spark):
     plan = corpus_queries.q_corpus_passed(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "html#" not in plan and plan.count("Scan parquet") == 13
+
+
+def test_simple_scores_are_one_aggregation_of_written_issues(spark):
+    plan = corpus_queries.q_corpus_simple_scores(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
