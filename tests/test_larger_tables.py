@@ -81,3 +81,25 @@ def test_passed_checks_look_at_the_pages_that_were_written(spark):
 def test_simple_scores_are_one_aggregation_of_written_issues(spark):
     plan = corpus_queries.q_corpus_simple_scores(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "Join" not in plan
+
+
+def test_search_terms_and_sitemaps_are_read_as_written(spark, monkeypatch):
+    """``lower`` of a literal is worked out by the driver, whose first call makes over 3 GB of garbage; entries were made anew by each reader."""
+    given = {}
+    gaps, canonical, sitemap = corpus_queries.gap_issues, corpus_queries.canonical_issues, corpus_queries.sitemap_issues
+    plan = lambda d: d._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(corpus_queries, "gap_issues", lambda m, k: given.update(terms=plan(k)) or gaps(m, k))
+    monkeypatch.setattr(corpus_queries, "canonical_issues", lambda p, e: given.update(canonical=plan(e)) or canonical(p, e))
+    monkeypatch.setattr(corpus_queries, "sitemap_issues", lambda p, e, s: given.update(sitemap=plan(e)) or sitemap(p, e, s))
+    corpus_queries.all_issues(spark, "/root/testdata/sf0.001")
+    assert set(given) == {"terms", "canonical", "sitemap"} and all(p.startswith("Relation [") and "\n" not in p.strip() for p in given.values())
+
+
+def test_simhash_is_a_fold(spark):
+    d = spark.createDataFrame([(1, "Some words, here"), (2, ""), (3, None), (4, "x")], "id long, text string")
+    h = duplicates.simhash(d, "id", F.col("text"))
+    bits = lambda t: sum((2 * sum(x >> i & 1 for x in t) >= len(t)) << i for i in range(64)) if t else 0
+    hashes = {w: r.h & (1 << 64) - 1 for w in ("some", "words", "here", "x") for r in [spark.range(1).select(duplicates.hash64(F.lit(w)).alias("h")).first()]}
+    want = {1: bits([hashes["some"], hashes["words"], hashes["here"]]), 2: 0, 3: 0, 4: hashes["x"]}
+    assert {r.id: r.hash & (1 << 64) - 1 for r in h.collect()} == want
+    assert h._jdf.queryExecution().optimizedPlan().toString().count("CASE WHEN") < 10
