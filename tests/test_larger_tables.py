@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from pagewright.operators import clusters, duplicates
+from pagewright.operators import clusters, duplicates, graph, sites
 from pagewright.plans import corpus_queries, queries, report_queries
 
 
@@ -103,3 +103,21 @@ def test_simhash_is_a_fold(spark):
     want = {1: bits([hashes["some"], hashes["words"], hashes["here"]]), 2: 0, 3: 0, 4: hashes["x"]}
     assert {r.id: r.hash & (1 << 64) - 1 for r in h.collect()} == want
     assert h._jdf.queryExecution().optimizedPlan().toString().count("CASE WHEN") < 10
+
+
+def test_levels_of_clicks_are_one_scan(spark):
+    e = spark.createDataFrame([(f"https://a.example/{i}", f"https://a.example/{i + 1}") for i in range(5)], "src string, dst string")
+    depth = graph.click_depth(e, "https://a.example/0")
+    assert {r.url[-1]: r.depth for r in depth.collect()} == {str(i): i for i in range(6)}
+    assert depth._jdf.queryExecution().executedPlan().toString().count("Scan parquet") == 1
+
+
+def test_rounds_of_redirects_are_written_once_each(spark, monkeypatch):
+    rounds, staged = [], sites.staged
+    monkeypatch.setattr(sites, "staged", lambda d, tag: rounds.append(tag) or staged(d, tag))
+    hops = spark.createDataFrame([("/a", 301, "/b"), ("/b", 302, "/c"), ("/c", 200, None), ("/l", 301, "/m"), ("/m", 301, "/l"), ("/e", 301, ""), ("/n", None, "/a"), ("/x", 301, "/gone")], "url string, status_code int, location string")
+    chains = sites.redirect_chains(hops)
+    got = {r.start_url: ("".join(r.path), r.final_url, r.final_status, r.hops, r.is_loop) for r in chains.collect()}
+    assert got == {"/a": ("/a/b/c", "/c", 200, 2, False), "/b": ("/b/c", "/c", 200, 1, False), "/c": ("/c", "/c", 200, 0, False), "/l": ("/l/m", "/l", 301, 2, True), "/m": ("/m/l", "/m", 301, 2, True),
+                   "/e": ("/e", "/e", 301, 0, False), "/n": ("/n", "/n", 0, 0, False), "/x": ("/x/gone", "/gone", 0, 1, False)}
+    assert len(rounds) == 3
