@@ -5,7 +5,8 @@ import random
 from pyspark.sql import functions as F
 
 from pagewright.operators import clusters, duplicates, graph, sites
-from pagewright.plans import corpus_queries, queries, report_queries
+from pagewright.plans import audit_queries, corpus, corpus_queries, queries, report_queries
+from pagewright.storage import staged
 
 
 def rows(df):
@@ -59,6 +60,43 @@ def test_near_pairs_of_a_group_of_several_parts(spark, monkeypatch):
     assert {(r.a, r.b) for r in got if r.site == "b"} == _near(hashes[:10])
 
 
+def test_every_near_pair_of_keys_that_share_hashes(spark, monkeypatch):
+    rng = random.Random(7)
+    base = [rng.getrandbits(63) for _ in range(4)]
+    hashes = [b ^ sum(1 << i for i in rng.sample(range(63), 7 * (k // 5 % 2))) for b in base for k in range(30)]
+    monkeypatch.setattr(duplicates, "PART", 16)
+    got = duplicates.near_pairs(spark.createDataFrame(list(enumerate(hashes)), "id long, hash long"), "id", every=True).collect()
+    want = {(i, j): d for i in range(len(hashes)) for j in range(i + 1, len(hashes)) if (d := bin(hashes[i] ^ hashes[j]).count("1")) <= 10}
+    assert len(got) == len(want) and {(r.a, r.b): r.distance for r in got} == want
+
+
+def test_every_near_pair_of_pages_but_those_left_out(spark):
+    """Texts of the same words in another order have one hash; the first of them is canonical for /1 and in a cluster with /2."""
+    words = [f"word{i}" for i in range(40)]
+    texts = [words, words[::-1], words[5:] + words[:5], words, [f"other{i}" for i in range(40)]]
+    p = [("s", f"/{i}", i, "t", ["h"], "m", " ".join(t)) for i, t in enumerate(texts)] + [("u", "/9", 9, "t", ["h"], "m", " ".join(words))]
+    d = spark.createDataFrame(p, "site string, url string, ord int, title string, h1 array<string>, meta_description string, text_content string")
+    members = spark.createDataFrame([("/0", "c"), ("/2", "c")], "url string, cluster_id string")
+    pairs = spark.createDataFrame([("/1", "/0")], "a string, b string")
+    got = [(r.a, r.b, r.distance) for r in duplicates.near_duplicate_pages(d, "site", members, pairs, every=True).collect()]
+    assert sorted(got) == [("/0", "/3", 0), ("/1", "/2", 0), ("/1", "/3", 0), ("/2", "/3", 0)]
+
+
+def test_messages_count_every_near_pair(spark):
+    sf = "/root/testdata/sf0.001"
+    p = staged(corpus.pages(spark, sf).drop("html"), "pages")
+    good = [r for r in p.filter("status_code = 200").orderBy("ord").collect() if len(r.text_content.split()) >= 20]
+    cluster = {r.url: r.cluster_id for r in corpus_queries.cluster_members(p).collect()}
+    own = {frozenset((r.a, r.b)) for r in sites.canonical_pairs(p.filter("status_code = 200")).collect()}
+    hashes = {r.ord: r.hash & (1 << 64) - 1 for r in duplicates.simhash(p, "ord", F.col("text_content")).collect()}
+    near = [(x, y) for i, x in enumerate(good) for y in good[i + 1 :] if x.site == y.site and bin(hashes[x.ord] ^ hashes[y.ord]).count("1") <= 10]
+    near = [(x, y) for x, y in near if frozenset((x.url, y.url)) not in own and (x.url not in cluster or cluster[x.url] != cluster.get(y.url))]
+    every = corpus_queries.all_issues(spark, sf)
+    (text,) = [r.text for r in audit_queries.q_audit_messages(spark, sf).collect()]
+    assert f"Issues: {every.filter(F.col('type') != 'near_duplicate_content').count() + len(near)}\n" in text
+    assert len(near) > every.filter("type = 'near_duplicate_content'").count()
+
+
 def test_near_pairs_broadcast_no_classes(spark):
     """An explode hides from the optimizer how many rows there are, so the driver must never gather them."""
     h = spark.range(200).select("id", F.xxhash64("id").alias("hash"), F.lit("s").alias("site"))
